@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontaminate
+from .linechunks import op7_line_chunks
 from .minhash import op6_near_duplicates
 from .mixing import OP9_SQL, op9_mixing
 from .quality import op10_quality
@@ -11,6 +12,7 @@ from .toxicity import op3_toxicity
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_line_chunks": op7_line_chunks,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
