@@ -69,44 +69,64 @@ def rank_of(doc_id, size, inclusion) -> F.Column:
 
 
 def mix(documents: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, bin_rows: int = BIN_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix holds it) and taken."""
-    sized = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    sized = written(sized, "mix-sizes")
+    """``documents`` with size, source_size, target, copies (how often the mix holds the row) and
+    taken (copies times size); columns of these names are replaced.
+
+    Sizes are counted and written once to find the plan of each source and the bin at which
+    it ends. Both are a row a source, so rows of ``documents`` meet them where they lie, and
+    only those of the bins at an edge are shuffled.
+    """
+    sized = written(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     by = written(targets(sized, weights=weights, total=total, most=most), "mix-targets")
     bins = max(64, math.ceil((by.agg(F.max("docs")).first()[0] or 0) / bin_rows))
-    plan = by.select(
-        F.col("source").alias("s"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("certain"),
-    )
+    some = F.col("source_size") > 0
+    plan = by.withColumn("certain", F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("remainder", F.col("target") - F.col("certain") * F.col("source_size"))
-    plan = plan.withColumn("inclusion", F.when(F.col("source_size") > 0, F.col("remainder") / F.col("source_size")).otherwise(0.0))
-    ranked = sized.join(plan, sized.source.eqNullSafe(plan.s)).drop("s")
-    ranked = ranked.withColumn("rank", F.when(F.col("inclusion") > 0, rank_of(F.col("doc_id"), F.col("size"), F.col("inclusion"))))
-    # the inclusion is the odds' share at u = 1/2; for equal bins the rank's own u is taken back
-    u = F.col("rank") * F.col("inclusion") / (F.col("rank") * F.col("inclusion") + (1 - F.col("rank")) * (1 - F.col("inclusion")))
-    ranked = ranked.withColumn("bin", F.when(F.col("rank").isNotNull(), F.least(F.floor(u * bins), F.lit(bins - 1))).cast("long"))
-    in_bin = ranked.where("rank is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.min("remainder").alias("remainder"))
-    running = Window.partitionBy("source").orderBy("bin")
-    in_bin = in_bin.withColumn("upto", F.sum("words").over(running)).withColumn("before", F.col("upto") - F.col("words"))
-    # exactly one bin of a source, at most, is where its remainder runs out
-    edges = in_bin.where((F.col("upto") > F.col("remainder")) & (F.col("before") <= F.col("remainder")) & (F.col("words") > 0))
-    edges = edges.groupBy(F.col("source").alias("s")).agg(F.min("bin").alias("edge"), F.min_by("before", "bin").alias("before"))
-    ranked = ranked.join(edges, ranked.source.eqNullSafe(edges.s), "left").drop("s")
-    at_edge = F.col("bin") == F.col("edge")
-    # rows that repeat have one rank, and a range frame keeps them together
-    order = Window.partitionBy("source", "bin").orderBy("rank")
-    edge = ranked.where(at_edge).withColumn("upto", F.col("before") + F.sum("size").over(order))
-    tie = Window.partitionBy("source", "bin", "rank")
-    edge = edge.withColumn("block", F.sum("size").over(tie))
+    plan = plan.withColumn("inclusion", F.when(some, F.col("remainder") / F.col("source_size")).otherwise(0.0))
+    plan = plan.select("source_size", "target", *(F.col(c).alias(f"__{c}") for c in ("source", "certain", "remainder", "inclusion")))
+    ranked = _ranked(sized, plan, bins)
+
+    words = ranked.where("__rank is not null").groupBy("__source", "__bin").agg(F.sum("size").alias("words"), F.min("__remainder").alias("remainder"))
+    words = words.withColumn("upto", F.sum("words").over(Window.partitionBy("__source").orderBy("__bin"))).withColumn("before", F.col("upto") - F.col("words"))
+    # the first bin at whose end the words exceed the remainder
+    edges = words.where(F.col("upto") > F.col("remainder")).groupBy(F.col("__source").alias("__edge_source")).agg(F.min("__bin").alias("__edge"), F.min_by("before", "__bin").alias("__before"))
+    edges = written(edges, "mix-edges")
+
+    carried = documents.drop("size", "source_size", "target", "copies", "taken")
+    rows = _ranked(carried.withColumn("size", n_words(F.col("text"))), plan, bins)
+    rows = rows.join(edges, F.col("__source").eqNullSafe(F.col("__edge_source")), "left")
+    at_edge = F.coalesce(F.col("__bin") == F.col("__edge"), F.lit(False))
+    # rows that repeat have one rank: a range frame keeps them together
+    upto = F.col("__before") + F.sum("size").over(Window.partitionBy("__source", "__bin").orderBy("__rank"))
+    block = F.sum("size").over(Window.partitionBy("__source", "__bin", "__rank"))
     # the row at which the words run out is taken if that comes nearer to the target
-    edge = edge.withColumn("more", (F.col("upto") - F.col("block") / 2.0 <= F.col("remainder")).cast("long")).drop("upto", "block")
-    rest = ranked.where(~F.coalesce(at_edge, F.lit(False))).withColumn("more", F.when(F.col("bin").isNotNull() & (F.col("edge").isNull() | (F.col("bin") < F.col("edge"))), 1).otherwise(0).cast("long"))
-    copies = F.col("certain") + F.col("more")
-    return rest.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    edge = rows.where(at_edge).withColumn("__more", (upto - block / 2.0 <= F.col("__remainder")).cast("long"))
+    below = F.col("__bin").isNotNull() & (F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge")))
+    done = rows.where(~at_edge).withColumn("__more", below.cast("long")).unionByName(edge)
+    copies = F.col("__certain") + F.col("__more")
+    return done.select(*carried.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _ranked(rows: DataFrame, plan: DataFrame, bins: int) -> DataFrame:
+    """``rows`` (doc_id, source, size, ...) with their source's plan, __rank and __bin, null where
+    nothing is drawn. The bin is that of u, which the rank's odds give back: equal bins then
+    hold about equally many rows, whatever the inclusion probability."""
+    ranked = rows.join(plan, rows.source.eqNullSafe(plan["__source"]))
+    p = F.col("__inclusion")
+    ranked = ranked.withColumn("__rank", F.when(p > 0, rank_of(F.col("doc_id"), F.col("size"), p)))
+    r = F.col("__rank")
+    u = r * p / (r * p + (1 - r) * (1 - p))
+    return ranked.withColumn("__bin", F.when(r.isNotNull(), F.least(F.floor(u * bins), F.lit(bins - 1))).cast("long"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(documents).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def stage_mixing(spark, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their texts and ``copies``: how often it takes them."""
+    return mix(documents).where("copies > 0")
 
 
 OP9_SQL = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_chat
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .linechunks import op7_line_chunks
 from .minhash import op6_near_duplicates
@@ -11,6 +12,7 @@ from .toxicity import op3_toxicity
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op5_chat": op5_chat,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_chunks": op7_line_chunks,
     "op8_decontaminate": op8_decontaminate,
@@ -18,4 +20,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL = {"op8_decontaminate": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op5_chat": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_mixing": OP9_SQL}
