@@ -9,9 +9,11 @@ from .minhash import op6_near_duplicates
 from .mixing import OP9_SQL, op9_mixing
 from .quality import op10_quality
 from .toxicity import op3_toxicity
+from .urlfilter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op4_url_filter": op4_url_filter,
     "op5_chat": op5_chat,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_chunks": op7_line_chunks,
@@ -20,4 +22,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL = {"op5_chat": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op4_url_filter": OP4_SQL, "op5_chat": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_mixing": OP9_SQL}
