@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Bytes of text that one block of rows holds, but for a longer single text.
 BLOCK_BYTES = 1 << 20
@@ -148,3 +149,14 @@ def counted(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
     at = np.flatnonzero(new)
     return rows[at], values[at], np.diff(np.append(at, len(rows)))
+
+
+def packed(column: pa.Array) -> pa.Array:
+    """Each text as a zstd frame, which shuffles in about half the bytes of Spark's own blocks."""
+    press = zstandard.ZstdCompressor(level=3)
+    return pa.array([None if x is None else press.compress(x) for x in column.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([None if x is None else press.decompress(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .bytetext import NOT_SPACE, blocks, lines, mix, span_hashes
+from .bytetext import NOT_SPACE, blocks, lines, mix, packed, span_hashes, unpacked
 from .common import discard, extended, table, written
 
 #: A line of this many words is a chunk of its own.
@@ -83,6 +84,19 @@ def chunks(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD) ->
     return keyed.mapInArrow(cut, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key binary, place int, words int, hash long")
 
 
+def _packed(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``key``, and the text as compressed bytes for the way to a join."""
+    keyed = _key(documents)
+    names = keyed.columns
+
+    def pack(batches):
+        for batch in batches:
+            columns = [packed(c) if name == "text" else c for name, c in zip(names, batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return keyed.mapInArrow(pack, StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in keyed.schema]))
+
+
 def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int) -> DataFrame:
     """(hash, is_first, key, place, bytes) of the chunks at ``wanted`` (doc_id, key, places: array of
     structs place, is_first), from whole texts."""
@@ -94,7 +108,7 @@ def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             flat = places.flatten()
             place, is_first = flat.field("place").to_numpy(), flat.field("is_first").to_numpy(zero_copy_only=False)
-            for first, data, offsets in blocks(batch["text"]):
+            for first, data, offsets in blocks(unpacked(batch["text"])):
                 row, a, b, _, h = chunk_table(data, offsets, heavy, spread)
                 starts = np.searchsorted(row, np.arange(len(offsets) - 1))
                 n = sizes[first : first + len(starts)]
@@ -108,7 +122,7 @@ def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int)
                     ["hash", "is_first", "doc_id", "key", "place", "bytes"],
                 )
 
-    keyed = _key(documents.where("text is not null").select("doc_id", "text"))
+    keyed = _packed(documents.where("text is not null").select("doc_id", "text"))
     found = keyed.join(wanted, keyed.key.eqNullSafe(wanted.w_key) & keyed.doc_id.eqNullSafe(wanted.w_doc_id)).select("doc_id", "key", "text", "places")
     kind = documents.schema["doc_id"].dataType.simpleString()
     return found.mapInArrow(cut, f"hash long, is_first boolean, doc_id {kind}, key binary, place int, bytes binary")
@@ -119,11 +133,13 @@ def repeated(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD)
     cut = written(chunks(documents, heavy=heavy, spread=spread), "chunks")
     place = F.struct("doc_id", "key", "place")
     ends = cut.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
+    # written, so that the join below has plain exchanges, which adaptive execution splits
+    ends = written(ends, "chunk-firsts")
     again = cut.join(ends, "hash").select("doc_id", "key", "place", (place == F.col("first")).alias("is_first"))
     # places of a document are as many as its lines
     wanted = again.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("key").alias("w_key")).agg(F.sort_array(F.collect_set(F.struct("place", "is_first"))).alias("places"))
     texts = written(_bytes_of(documents, wanted, heavy, spread), "chunk-bytes")
-    first = texts.where("is_first").select("hash", F.col("bytes").alias("first_bytes")).dropDuplicates(["hash"])
+    first = texts.where("is_first").select("hash", F.col("bytes").alias("first_bytes"))
     same = texts.where("not is_first").join(first, "hash").where("bytes = first_bytes")
     return same.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
@@ -135,12 +151,12 @@ def dedup_lines(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREA
     kept = documents.drop(*added)
     names = kept.columns
     found = written(repeated(documents, heavy=heavy, spread=spread), "chunk-places").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("places").alias("__places"))
-    key = F.unhex(F.md5(F.col("text").cast("binary")))
-    joined = kept.join(found, kept.doc_id.eqNullSafe(F.col("__doc")) & key.eqNullSafe(F.col("__key")), "left").select(*names, "__places")
+    ready = _packed(kept.withColumnRenamed("key", "__own_key"))
+    joined = ready.join(found, ready.doc_id.eqNullSafe(F.col("__doc")) & ready.key.eqNullSafe(F.col("__key")), "left").drop("key", "__doc", "__key")
 
     def removed(batches):
         for batch in batches:
-            texts, n_lines, n_words = batch.column(names.index("text")), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            texts, n_lines, n_words = unpacked(batch.column(names.index("text"))), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             new = {}
             listed = batch.column(len(names))
             for i in np.flatnonzero(np.asarray(listed.is_valid())):
@@ -162,9 +178,9 @@ def dedup_lines(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREA
                     new[int(i)] = b"\n".join(text[x:y] for x, y in zip(a[~gone], b[~gone]))
                     n_words[i] = words[gone].sum()
                     n_lines[i] = sum(text[x:y].count(b"\n") + 1 for x, y in zip(a[gone], b[gone]))
-            columns = list(batch.columns[: len(names)])
+            columns, at = list(batch.columns[: len(names)]), names.index("text")
+            columns[at] = texts
             if new:
-                at = names.index("text")
                 mask = np.zeros(len(batch), bool)
                 mask[list(new)] = True
                 columns[at] = pa.compute.replace_with_mask(columns[at], pa.array(mask), pa.array([new[i].decode() for i in sorted(new)], columns[at].type))
