@@ -7,7 +7,9 @@ passages are made of, and they then match wherever they are put.
 
 A chunk's first occurrence, by doc_id and place, stays. A later one is removed if its bytes
 equal the first one's and the run of such chunks around it has at least ``least_words``
-words: short lines that many documents share (a licence line, a byline) stay, passages go.
+words. A run goes on from a chunk to the next only if the two stand together earlier too:
+short lines that many documents share (a licence line, a byline) stay, even beside a
+passage that goes.
 
 Chunks meet by hash in partial sums (least and greatest occurrence), never in one group.
 Only chunks whose hash occurs again have their bytes sent, to their first occurrence's.
@@ -69,7 +71,7 @@ def _key(documents: DataFrame) -> DataFrame:
 
 
 def chunks(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD) -> DataFrame:
-    """doc_id, key, place, words and hash of each chunk that has words."""
+    """doc_id, key, place and hash of each chunk that has words, and the hash of it with the one before."""
 
     def cut(batches):
         for batch in batches:
@@ -77,11 +79,14 @@ def chunks(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD) ->
                 row, _, _, words, h = chunk_table(data, offsets, heavy, spread)
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 some = words > 0
-                at = pa.array(first + row[some])
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["key"].take(at), pa.array(place[some].astype(np.int32)), pa.array(words[some].astype(np.int32)), pa.array(h[some].view(np.int64))], ["doc_id", "key", "place", "words", "hash"])
+                row, place, h = row[some], place[some].astype(np.int32), h[some]
+                pair = mix(h + np.concatenate([[0], h[:-1]]).astype(np.uint64) * _OLDER).view(np.int64)
+                lone = np.concatenate([[True], row[1:] != row[:-1]])
+                at = pa.array(first + row)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["key"].take(at), pa.array(place), pa.array(h.view(np.int64)), pa.array(pair, mask=lone)], ["doc_id", "key", "place", "hash", "pair"])
 
     keyed = _key(documents.where("text is not null").select("doc_id", "text")).select("doc_id", "key", "text")
-    return keyed.mapInArrow(cut, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key binary, place int, words int, hash long")
+    return keyed.mapInArrow(cut, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key binary, place int, hash long, pair long")
 
 
 def _packed(documents: DataFrame) -> DataFrame:
@@ -98,8 +103,8 @@ def _packed(documents: DataFrame) -> DataFrame:
 
 
 def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int) -> DataFrame:
-    """(hash, is_first, key, place, bytes) of the chunks at ``wanted`` (doc_id, key, places: array of
-    structs place, is_first), from whole texts."""
+    """The bytes of the chunks at ``wanted`` (w_doc_id, w_key, places: array of structs place, is_first,
+    joined), from whole texts."""
 
     def cut(batches):
         for batch in batches:
@@ -107,7 +112,7 @@ def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int)
             sizes = np.diff(places.offsets.to_numpy())
             ends = np.concatenate([[0], np.cumsum(sizes)])
             flat = places.flatten()
-            place, is_first = flat.field("place").to_numpy(), flat.field("is_first").to_numpy(zero_copy_only=False)
+            place, is_first, joined = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("place", "is_first", "joined"))
             for first, data, offsets in blocks(unpacked(batch["text"])):
                 row, a, b, _, h = chunk_table(data, offsets, heavy, spread)
                 starts = np.searchsorted(row, np.arange(len(offsets) - 1))
@@ -118,30 +123,35 @@ def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int)
                 text = data.tobytes()
                 doc = pa.array(first + of)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), pa.array(is_first[mine]), batch["doc_id"].take(doc), batch["key"].take(doc), pa.array(place[mine]), pa.array([text[x:y] for x, y in zip(a[at], b[at])], pa.binary())],
-                    ["hash", "is_first", "doc_id", "key", "place", "bytes"],
+                    [pa.array(h[at].view(np.int64)), pa.array(is_first[mine]), pa.array(joined[mine]), batch["doc_id"].take(doc), batch["key"].take(doc), pa.array(place[mine]), pa.array([text[x:y] for x, y in zip(a[at], b[at])], pa.binary())],
+                    ["hash", "is_first", "joined", "doc_id", "key", "place", "bytes"],
                 )
 
     keyed = _packed(documents.where("text is not null").select("doc_id", "text"))
     found = keyed.join(wanted, keyed.key.eqNullSafe(wanted.w_key) & keyed.doc_id.eqNullSafe(wanted.w_doc_id)).select("doc_id", "key", "text", "places")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(cut, f"hash long, is_first boolean, doc_id {kind}, key binary, place int, bytes binary")
+    return found.mapInArrow(cut, f"hash long, is_first boolean, joined boolean, doc_id {kind}, key binary, place int, bytes binary")
 
 
 def repeated(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD) -> DataFrame:
-    """doc_id, key and places (sorted) of the chunks whose bytes stand earlier too."""
+    """doc_id, key and places of the chunks whose bytes stand earlier too: sorted structs of place
+    and joined, which says whether the chunk stands earlier with the one before it."""
     cut = written(chunks(documents, heavy=heavy, spread=spread), "chunks")
     place = F.struct("doc_id", "key", "place")
     ends = cut.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
     # written, so that the join below has plain exchanges, which adaptive execution splits
     ends = written(ends, "chunk-firsts")
-    again = cut.join(ends, "hash").select("doc_id", "key", "place", (place == F.col("first")).alias("is_first"))
+    again = written(cut.join(ends, "hash").select("doc_id", "key", "place", "pair", (place == F.col("first")).alias("is_first")), "chunk-again")
+    pairs = again.where("pair is not null").groupBy("pair").agg(F.min(place).alias("first_pair"), F.max(place).alias("last_pair"))
+    pairs = written(pairs.where("first_pair <> last_pair").drop("last_pair"), "chunk-pairs")
+    again = again.join(pairs, "pair", "left").select("doc_id", "key", "place", "is_first", F.coalesce(place != F.col("first_pair"), F.lit(False)).alias("joined"))
     # places of a document are as many as its lines
-    wanted = again.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("key").alias("w_key")).agg(F.sort_array(F.collect_set(F.struct("place", "is_first"))).alias("places"))
+    entry = F.struct("place", "is_first", "joined")
+    wanted = again.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("key").alias("w_key")).agg(F.sort_array(F.collect_set(entry)).alias("places"))
     texts = written(_bytes_of(documents, wanted, heavy, spread), "chunk-bytes")
     first = texts.where("is_first").select("hash", F.col("bytes").alias("first_bytes"))
     same = texts.where("not is_first").join(first, "hash").where("bytes = first_bytes")
-    return same.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return same.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("place", "joined"))).alias("places"))
 
 
 def dedup_lines(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD, least_words: int = LEAST_WORDS, prefix: str = "") -> DataFrame:
@@ -162,17 +172,16 @@ def dedup_lines(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREA
             for i in np.flatnonzero(np.asarray(listed.is_valid())):
                 ((_, data, offsets),) = blocks(texts.slice(i, 1))
                 _, a, b, words, _ = chunk_table(data, offsets, heavy, spread)
-                gone = np.zeros(len(a), bool)
-                gone[listed[int(i)].values.to_numpy()] = True
-                # blank lines between two repeated chunks belong to their run
-                worded = np.flatnonzero(words > 0)
-                for x, y in zip(worded[:-1], worded[1:]):
-                    if gone[x] and gone[y]:
-                        gone[x:y] = True
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
-                for x, y in zip(edges[::2], edges[1::2]):
-                    if words[x:y].sum() < least_words:
-                        gone[x:y] = False
+                flat = listed[int(i)].values
+                repeated = dict(zip(flat.field("place").to_pylist(), flat.field("joined").to_pylist()))
+                gone, run = np.zeros(len(a), bool), []
+                for x in [*np.flatnonzero(words > 0).tolist(), None]:
+                    if run and not repeated.get(x, False):  # the run ends before x
+                        if words[run].sum() >= least_words:
+                            gone[run[0] : run[-1] + 1] = True  # with the blank lines inside
+                        run = []
+                    if x in repeated:
+                        run.append(x)
                 if gone.any():
                     text = data.tobytes()
                     new[int(i)] = b"\n".join(text[x:y] for x, y in zip(a[~gone], b[~gone]))
