@@ -9,12 +9,9 @@ text nearly all elements are done after one arrival.
 
 Signatures are cut into bands; texts that share a band's hash are candidates. Candidates
 are compared by their whole shingle sets: a link is a Jaccard similarity of 0.8 or more.
-Equal texts are one node from the start. Within a band's bucket, some members (pivots)
-are compared with all others, links are joined to components, and only members of different
-components are compared further; with twice the pivots each round, a bucket is done after
-as many rounds as its size has binary digits, and buckets of one component leave at once.
-So every link between components of candidates is found, no bucket is cut off, and a group
-of copies costs one comparison a member, not one a pair.
+Equal texts are one node from the start. Links are joined to components, and candidates of
+different components are compared until none is left that might be linked (``links`` says
+how): no bucket is cut off, and a group of copies costs about one comparison a member.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. A text of
 one to four words is a single shingle. Null texts and texts without words are nobody's
@@ -24,6 +21,8 @@ and text have one class; a doc_id with several texts counts once for each.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,6 +36,9 @@ WORDS = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8, 24 bands of 5 miss a pair with probability 7e-5.
 BANDS, ROWS = 24, 5
+#: Members of a bucket whose pairs are few enough to meet all, levels of finer buckets, and
+#: steps in which a large bucket's members agree on a centre.
+SMALL, LEVELS, STEPS = 8, 2, 2
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(0xD1B54A32D192ED03)
@@ -98,67 +100,200 @@ def sketch(documents: DataFrame, *, n: int = WORDS, bands: int = BANDS, rows: in
     return keyed.mapInArrow(sketched, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
 
 
-def similarity(pairs: DataFrame, n: int = WORDS) -> DataFrame:
-    """``pairs`` (a, b, a_text, b_text) with the Jaccard similarity of the whole shingle sets."""
+def similarity(pairs: DataFrame, texts: DataFrame, n: int = WORDS, *, added: bool = False) -> DataFrame:
+    """Of each pair (a, b) of nodes: similarity (Jaccard, of the whole shingle sets), overlap
+    (shingles of both), words (shingles of b) and, if asked for, b's shingles that a hasn't."""
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
+    met = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
 
     def compared(batches):
         for batch in batches:
-            out = []
             for at in range(0, len(batch), 256):
-                a, b = (batch[x].slice(at, 256) for x in ("a_text", "b_text"))
-                both = pa.concat_arrays([a, b]).take(pa.array(np.arange(2 * len(a)).reshape(2, -1).T.ravel()))
+                part = batch.slice(at, 256)
+                both = pa.concat_arrays([part["a_text"], part["b_text"]]).take(pa.array(np.arange(2 * len(part)).reshape(2, -1).T.ravel()))
                 sets: list[np.ndarray] = []
+                out, more = [], []
                 for _, data, offsets in blocks(both):  # a pair's texts stand together
                     row, shingle, _ = weighted_shingles(data, offsets, n)
                     ends = np.searchsorted(row, np.arange(len(offsets)))
                     for i in range(len(offsets) - 1):
                         sets.append(shingle[ends[i] : ends[i + 1]])
                         if len(sets) == 2:
-                            shared = len(np.intersect1d(*sets, assume_unique=True))
-                            out.append(shared / max(len(sets[0]) + len(sets[1]) - shared, 1))
-                            sets.clear()
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(out, pa.float64())], ["a", "b", "similarity"])
+                            x, y = sets
+                            shared = len(np.intersect1d(x, y, assume_unique=True))
+                            out.append((shared / max(len(x) + len(y) - shared, 1), shared, len(y)))
+                            more.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64) if added else np.zeros(0, np.int64))
+                            sets = []
+                figures = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, more)]), pa.int32()), pa.array(np.concatenate([*more, np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([part["a"], part["b"], *figures, lists], ["a", "b", "similarity", "overlap", "words", "added"])
+
+    return met.mapInArrow(compared, "a binary, b binary, similarity double, overlap long, words long, added array<long>")
+
+
+def _mixed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows (bucket, node, root) of buckets with more than one component. Bounds are written
+    first: the join's sides are then plain exchanges, which adaptive execution splits."""
+    bounds = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return written(rows.join(written(bounds, name), "bucket", "left_semi"), name)
+
+
+class Search:
+    """The links found so far, their components, and the pairs that were compared."""
 
-    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(compared, "a binary, b binary, similarity double")
+    def __init__(self, texts: DataFrame, threshold: float, n: int) -> None:
+        self.texts, self.threshold, self.n = texts, threshold, n
+        self.found = self.roots = self.seen = None
+        self.more = False
+
+    def compare(self, pairs: DataFrame, *, added: bool = False) -> DataFrame:
+        """Compare pairs (a, b) and keep what links; components follow in ``join``."""
+        told = written(similarity(pairs, self.texts, self.n, added=added), "near-compared")
+        links = told.where(F.col("similarity") >= self.threshold).select("a", "b")
+        self.more = self.more or self.found is None or not links.isEmpty()
+        self.found = links if self.found is None else self.found.unionByName(links)
+        pair = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        self.seen = pair if self.seen is None else self.seen.unionByName(pair)
+        return told
+
+    def join(self) -> None:
+        """Components of all links so far, if there are more than at the last time."""
+        if self.more:
+            self.roots, self.more = connected_components(self.found), False
+
+    def new(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that weren't compared yet, each once, the lesser node first."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return written(pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti"), "near-pairs")
+
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """Rows (bucket, node) with the node's component."""
+        return rows.join(self.roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
 
 
 def links(buckets: DataFrame, texts: DataFrame, *, threshold: float = SIMILARITY, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """The links found among the members of buckets (bucket, node), and their components.
+    """The links among the members of buckets (bucket, node), and their components.
+
+    Complete between components: two members of a bucket that no link joins, directly or
+    through others, were compared, or were shown to be too far apart, in three ways.
 
-    Links are complete between components: two candidates that no link joins, directly or
-    through others, were compared.
+    1. A small bucket: its least member meets all others, then all pairs of different
+       components meet; they are few by the bound on a small bucket.
+    2. A large bucket: each node has a centre, that member of its large buckets which has most
+       company, and meets it. Let p be the centre of s and c, with what more than a quarter of
+       its nodes share besides. What s and c share is at most
+       what p shares with either, and what they share outside p. So a linked pair either
+       shares a shingle that p hasn't, and then both are in the finer bucket of p and that
+       shingle, which is searched the same way; or p's share alone is large enough for the
+       two sizes, and then the pair is left for 3. Edited copies of one text that aren't
+       linked to it share little but the text itself: they part here, one comparison each.
+    3. The rest, and buckets with several centres: pivots, twice as many each round, meet all
+       members of other components.
     """
-    spark = buckets.sparkSession
-    left, pivots_each, found, compared, roots = buckets, 1, None, None, None
-    while True:
-        by = Window.partitionBy("bucket").orderBy("node")
-        if pivots_each == 1:
-            pivots = left.groupBy("bucket").agg(F.min("node").alias("a"))
-        else:
-            pivots = left.withColumn("i", F.row_number().over(by)).where(F.col("i") <= pivots_each).select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"))
-        pairs = left.withColumnRenamed("node", "b").join(pivots, "bucket").where("a < b")
-        if roots is not None:
-            pairs = pairs.where("a_root <> root")
-        pairs = pairs.select("a", "b").distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        close = written(similarity(met, n).where(F.col("similarity") >= threshold), "near-links")
-        found = close if found is None else found.unionByName(close)
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        if roots is None or not close.isEmpty():
-            roots = connected_components(found)
-        # the pivots have met all others; what is left matters only where components differ
+    search = Search(texts, threshold, n)
+    left, hard = buckets, []
+    for level in range(LEVELS):
+        sizes = written(left.groupBy("bucket").agg(F.count("*").alias("size")), "near-sizes")
+        sized = left.join(sizes, "bucket").select("bucket", "node", "size")
+        small = sized.where(F.col("size").between(2, SMALL)).select("bucket", "node")
+        large = written(sized.where(F.col("size") > SMALL), "near-large")
+        told = None if large.isEmpty() else search.compare(_centres(large), added=True)
+        if level == 0:
+            least = small.groupBy("bucket").agg(F.min("node").alias("a"))
+            search.compare(search.new(small.withColumnRenamed("node", "b").join(least, "bucket").where("a < b")))
+        search.join()
+        rooted = _mixed(search.rooted(small), "near-small")
+        pairs = rooted.select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root")).join(rooted.withColumnRenamed("node", "b"), "bucket").where("a < b and a_root <> root").select("a", "b")
+        if told is not None:
+            left, crossed, close = _parted(large, told, search)
+            hard.append(crossed)
+            pairs = pairs.unionByName(close)
+        search.compare(search.new(pairs))
+        search.join()
+        if told is None or left.isEmpty():
+            break
+    else:
+        hard.append(left)
+    if hard:
+        _by_pivots(reduce(DataFrame.unionByName, hard), search)
+    return search.found, search.roots
+
+
+def _centres(large: DataFrame) -> DataFrame:
+    """Each node with its centre, as pairs (a: centre, b: node); a node that is its own has none.
+
+    The centre is the node with most company that is found in a few steps from node to
+    bucket to node, so that all members of a bucket, as a rule, have the same one.
+    """
+    company = large.groupBy("node").agg(F.sum("size").alias("company"))
+    best = written(company.select("node", F.struct("company", "node").alias("best")), "near-best")
+    for _ in range(STEPS):
+        # a node is in as many large buckets as it has bands, or added shingles, at most
+        of_bucket = written(large.join(best, "node").groupBy("bucket").agg(F.max("best").alias("best")), "near-best")
+        best = written(large.join(of_bucket, "bucket").groupBy("node").agg(F.max("best").alias("best")), "near-best")
+    return written(best.select(F.col("best.node").alias("a"), F.col("node").alias("b")).where("a <> b"), "near-centres")
+
+
+def _parted(large: DataFrame, told: DataFrame, search: Search) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """After the nodes of large buckets met their centres: the finer buckets with several
+    components, the rows of buckets with several centres, and the pairs that may be linked
+    by what they share with their centre alone."""
+    each = told.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.explode("added").alias("shingle"))
+    members = told.groupBy(F.col("a").alias("centre")).agg(F.count("*").alias("members"))
+    often = each.groupBy("centre", "shingle").agg(F.count("*").alias("n")).join(members, "centre").where("n * 4 > members")
+    often = written(often.select("centre", "shingle", F.lit(True).alias("common")), "near-common")
+    each = written(each.join(often, ["centre", "shingle"], "left"), "near-added")
+    more = each.where("common").groupBy("node").agg(F.count("*").alias("more"))
+    about = told.select(F.col("b").alias("node"), F.col("a").alias("centre"), "overlap", "words").join(more, "node", "left")
+    about = about.select("node", "centre", (F.col("overlap") + F.coalesce("more", F.lit(0))).alias("overlap"), "words")
+    finer = each.where("common is null").select(F.xxhash64("centre", "shingle").alias("bucket"), "node").distinct()
+    finer = _mixed(search.rooted(finer), "near-finer").select("bucket", "node")
+
+    # a centre has all its own shingles; what it shares with itself bounds nothing
+    near = search.rooted(large.select("bucket", "node")).join(about, "node", "left")
+    near = written(near.withColumn("centre", F.coalesce("centre", "node")), "near-large")
+    several = near.groupBy("bucket").agg(F.min("centre").alias("low"), F.max("centre").alias("high")).where("low < high").select("bucket")
+    several = written(several, "near-several")
+    crossed = near.join(several, "bucket", "left_semi").select("bucket", "node", "root")
+    crossed = _mixed(crossed, "near-crossed").select("bucket", "node")
+
+    # s and c need an overlap of t (|s| + |c|): what s shares with p allows sizes of c up to overlap / t - |s|.
+    # In such a pair at least one allows its own size: the smaller one, close to a part of p.
+    t = search.threshold / (1 + search.threshold)
+    alone = near.where("overlap is not null").join(several, "bucket", "left_anti").withColumn("allows", F.col("overlap") / F.lit(t) - F.col("words") + 1e-6)
+    alone = alone.select("bucket", "node", "root", "words", "allows", (F.col("allows") >= F.col("words")).alias("part"))
+    of_root = written(alone.groupBy("bucket", "root").agg(F.max("allows").alias("most"), F.min(F.when(F.col("part"), F.col("words"))).alias("least")), "near-bounds")
+    # the widest and the smallest of each bucket, and those of its other components
+    first = of_root.groupBy("bucket").agg(F.max(F.struct("most", "root")).alias("widest"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "root"))).alias("smallest"))
+    rest = of_root.join(written(first, "near-first"), "bucket")
+    second = rest.groupBy("bucket", "widest", "smallest").agg(
+        F.max(F.when(F.col("root") != F.col("widest.root"), F.col("most"))).alias("next_most"),
+        F.min(F.when(F.col("root") != F.col("smallest.root"), F.col("least"))).alias("next_least"),
+    )
+    alone = alone.join(written(second, "near-second"), "bucket")
+    most = F.when(F.col("root") != F.col("widest.root"), F.col("widest.most")).otherwise(F.col("next_most"))
+    least = F.when(F.col("root") != F.col("smallest.root"), F.col("smallest.least")).otherwise(F.col("next_least"))
+    kept = alone.where((F.col("part") & (F.col("words") <= most)) | (F.col("allows") >= least))
+    kept = written(kept.select("bucket", "node", "root", "words", "allows", "part"), "near-kept")
+    part = kept.where("part").select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "words", "allows")))
+    pairs = kept.join(part, "bucket").where("root <> root_b and words_b <= allows and words <= allows_b and (words_b < words or words_b = words and node_b < node)")
+    return finer, crossed, pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
+def _by_pivots(left: DataFrame, search: Search) -> None:
+    """Compare members of different components: some pivots of a bucket with all others, then twice as many."""
+    each = SMALL
+    left = _mixed(search.rooted(left.distinct()), "near-left")
+    while not left.isEmpty():
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        pivots = left.withColumn("i", place).where(F.col("i") <= each).select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"))
+        pivots = written(pivots, "near-pivots")
+        search.compare(search.new(left.withColumnRenamed("node", "b").join(pivots, "bucket").where("a < b and a_root <> root")))
+        search.join()
+        # pivots have met all others
         rest = left.select("bucket", "node").join(pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-        rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        rest = written(rest.join(mixed, "bucket", "left_semi"), "near-left")
-        if pivots_each > 1:
-            discard(spark, left)
-        left, pivots_each = rest, pivots_each * 2
-        if left.isEmpty():
-            return found, roots
+        left, each = _mixed(search.rooted(rest), "near-left"), each * 2
 
 
 def classes(documents: DataFrame, *, threshold: float = SIMILARITY, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
