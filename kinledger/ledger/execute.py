@@ -96,22 +96,25 @@ def run(ledger: Ledger, plan: Plan, now: datetime | None = None) -> Ledger:
     if len({op.key for op in keyed}) < len(keyed) or keyed and not ledger.keys.join(hashes, "key", "left_semi").isEmpty():
         raise DuplicateIdempotencyKey(", ".join(sorted({op.key for op in keyed})))
 
-    receipts = [(op.asset, op.to, op.amount, RESERVED if op.kind == "reserve" else ALIVE, op.to if op.kind == "reserve" else None, MOST_FRAGMENTS) for op in plan.operations if op.to is not None]
-    made = spark.createDataFrame(receipts, "asset string, owner string, amount long, state string, reserved_for string, most long")
+    receipts = [(f"{i}", op.asset, op.to, op.amount, RESERVED if op.kind == "reserve" else ALIVE, op.to if op.kind == "reserve" else None, MOST_FRAGMENTS) for i, op in enumerate(plan.operations) if op.to is not None]
+    made = spark.createDataFrame(receipts, "why string, asset string, owner string, amount long, state string, reserved_for string, most long")
     gone = []
     for needs, state in ((plan.locks(), ALIVE), (_settled(plan), RESERVED)):
         if needs:
             taken, change = _spent(ledger, needs, state)
             gone.append(taken)
             kept_for = F.col("owner") if state == RESERVED else F.lit(None).cast("string")
-            made = made.unionByName(change.select("asset", "owner", "amount", F.lit(state).alias("state"), kept_for.alias("reserved_for"), "most"))
+            made = made.unionByName(change.select(F.lit(f"change {state}").alias("why"), "asset", "owner", "amount", F.lit(state).alias("state"), kept_for.alias("reserved_for"), "most"))
     objects = ledger.objects
     if gone:
         spent = (gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])).select(F.col("id").alias("__spent"))
         state = F.when(F.col("__spent").isNotNull(), BURNED).otherwise(F.col("state"))
         objects = objects.join(spent, F.col("id") == F.col("__spent"), "left").withColumn("state", state).select(*ledger.objects.columns)
-    cut = made.join(ledger.assets.select(F.col("id").alias("asset"), "unit"), "asset").withColumn("amount", F.explode(fragment_sizes(F.col("amount"), F.col("unit"), F.col("most"))))
-    fresh = cut.select(F.uuid().alias("id"), "asset", "owner", "amount", "state", "reserved_for", F.lit(now).alias("created_at"))
+    cut = made.join(ledger.assets.select(F.col("id").alias("asset"), "unit"), "asset")
+    cut = cut.select("why", "asset", "owner", "state", "reserved_for", F.posexplode(fragment_sizes(F.col("amount"), F.col("unit"), F.col("most"))).alias("place", "amount"))
+    # ids follow from the run and the fragment's place in it: a task that runs again makes the same
+    name = F.sha2(F.concat_ws(":", F.lit(uuid.uuid4().hex), "why", "asset", "owner", F.col("place").cast("string")), 256)
+    fresh = cut.select(name.alias("id"), "asset", "owner", "amount", "state", "reserved_for", F.lit(now).alias("created_at"))
     entries = [(str(uuid.uuid4()), op) for op in plan.operations]
     written = spark.createDataFrame([_entry(id_, op, now) for id_, op in entries], TRANSACTIONS)
     used = spark.createDataFrame([(op.key, id_, now) for id_, op in entries if op.key is not None], IDEMPOTENCY).withColumn("key", idempotency_hash(F.col("key")))
