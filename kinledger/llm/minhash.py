@@ -203,18 +203,18 @@ def links(buckets: DataFrame, texts: DataFrame, *, threshold: float = SIMILARITY
             least = small.groupBy("bucket").agg(F.min("node").alias("a"))
             search.compare(search.new(small.withColumnRenamed("node", "b").join(least, "bucket").where("a < b")))
         search.join()
-        rooted = _mixed(search.rooted(small), "near-small")
+        rooted = search.rooted(small)
         pairs = rooted.select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root")).join(rooted.withColumnRenamed("node", "b"), "bucket").where("a < b and a_root <> root").select("a", "b")
         if told is not None:
             left, crossed, close = _parted(large, told, search)
             hard.append(crossed)
             pairs = pairs.unionByName(close)
         search.compare(search.new(pairs))
-        search.join()
         if told is None or left.isEmpty():
             break
     else:
         hard.append(left)
+    search.join()
     if hard:
         _by_pivots(reduce(DataFrame.unionByName, hard), search)
     return search.found, search.roots
@@ -227,11 +227,11 @@ def _centres(large: DataFrame) -> DataFrame:
     bucket to node, so that all members of a bucket, as a rule, have the same one.
     """
     company = large.groupBy("node").agg(F.sum("size").alias("company"))
-    best = written(company.select("node", F.struct("company", "node").alias("best")), "near-best")
+    best = company.select("node", F.struct("company", "node").alias("best"))
     for _ in range(STEPS):
         # a node is in as many large buckets as it has bands, or added shingles, at most
         of_bucket = written(large.join(best, "node").groupBy("bucket").agg(F.max("best").alias("best")), "near-best")
-        best = written(large.join(of_bucket, "bucket").groupBy("node").agg(F.max("best").alias("best")), "near-best")
+        best = large.join(of_bucket, "bucket").groupBy("node").agg(F.max("best").alias("best"))
     return written(best.select(F.col("best.node").alias("a"), F.col("node").alias("b")).where("a <> b"), "near-centres")
 
 
@@ -245,8 +245,8 @@ def _parted(large: DataFrame, told: DataFrame, search: Search) -> tuple[DataFram
     often = written(often.select("centre", "shingle", F.lit(True).alias("common")), "near-common")
     each = written(each.join(often, ["centre", "shingle"], "left"), "near-added")
     more = each.where("common").groupBy("node").agg(F.count("*").alias("more"))
-    about = told.select(F.col("b").alias("node"), F.col("a").alias("centre"), "overlap", "words").join(more, "node", "left")
-    about = about.select("node", "centre", (F.col("overlap") + F.coalesce("more", F.lit(0))).alias("overlap"), "words")
+    about = told.select(F.col("b").alias("node"), F.col("a").alias("centre"), "overlap", "words", (F.col("similarity") >= search.threshold).alias("linked")).join(more, "node", "left")
+    about = about.select("node", "centre", (F.col("overlap") + F.coalesce("more", F.lit(0))).alias("overlap"), "words", "linked")
     finer = each.where("common is null").select(F.xxhash64("centre", "shingle").alias("bucket"), "node").distinct()
     finer = _mixed(search.rooted(finer), "near-finer").select("bucket", "node")
 
@@ -262,19 +262,16 @@ def _parted(large: DataFrame, told: DataFrame, search: Search) -> tuple[DataFram
     # In such a pair at least one allows its own size: the smaller one, close to a part of p.
     t = search.threshold / (1 + search.threshold)
     alone = near.where("overlap is not null").join(several, "bucket", "left_anti").withColumn("allows", F.col("overlap") / F.lit(t) - F.col("words") + 1e-6)
-    alone = alone.select("bucket", "node", "root", "words", "allows", (F.col("allows") >= F.col("words")).alias("part"))
-    of_root = written(alone.groupBy("bucket", "root").agg(F.max("allows").alias("most"), F.min(F.when(F.col("part"), F.col("words"))).alias("least")), "near-bounds")
-    # the widest and the smallest of each bucket, and those of its other components
-    first = of_root.groupBy("bucket").agg(F.max(F.struct("most", "root")).alias("widest"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "root"))).alias("smallest"))
-    rest = of_root.join(written(first, "near-first"), "bucket")
-    second = rest.groupBy("bucket", "widest", "smallest").agg(
-        F.max(F.when(F.col("root") != F.col("widest.root"), F.col("most"))).alias("next_most"),
-        F.min(F.when(F.col("root") != F.col("smallest.root"), F.col("least"))).alias("next_least"),
+    alone = alone.select("bucket", "node", "root", "words", "allows", "linked", (F.col("allows") >= F.col("words")).alias("part"))
+    # those linked to the centre are of one component: one of a pair isn't
+    bounds = alone.groupBy("bucket").agg(
+        F.max(F.when(~F.col("linked"), F.col("allows"))).alias("most"),
+        F.min(F.when(F.col("part") & ~F.col("linked"), F.col("words"))).alias("least"),
+        F.min(F.when(F.col("part"), F.col("words"))).alias("least_of_all"),
     )
-    alone = alone.join(written(second, "near-second"), "bucket")
-    most = F.when(F.col("root") != F.col("widest.root"), F.col("widest.most")).otherwise(F.col("next_most"))
-    least = F.when(F.col("root") != F.col("smallest.root"), F.col("smallest.least")).otherwise(F.col("next_least"))
-    kept = alone.where((F.col("part") & (F.col("words") <= most)) | (F.col("allows") >= least))
+    alone = alone.join(written(bounds, "near-bounds"), "bucket")
+    if_linked = F.col("part") & (F.col("words") <= F.col("most")) | (F.col("allows") >= F.col("least"))
+    kept = alone.where(F.when(F.col("linked"), if_linked).otherwise(F.col("part") | (F.col("allows") >= F.col("least_of_all"))))
     kept = written(kept.select("bucket", "node", "root", "words", "allows", "part"), "near-kept")
     part = kept.where("part").select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "words", "allows")))
     pairs = kept.join(part, "bucket").where("root <> root_b and words_b <= allows and words <= allows_b and (words_b < words or words_b = words and node_b < node)")
