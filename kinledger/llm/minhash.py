@@ -37,8 +37,8 @@ SIMILARITY = 0.8
 #: At a similarity of 0.8, 24 bands of 5 miss a pair with probability 7e-5.
 BANDS, ROWS = 24, 5
 #: Members of a bucket whose pairs are few enough to meet all, levels of finer buckets, and
-#: steps in which a large bucket's members agree on a centre.
-SMALL, LEVELS, STEPS = 8, 2, 2
+#: steps in which a large bucket's members agree on a centre; pivots to begin with.
+SMALL, LEVELS, STEPS, PIVOTS = 8, 2, 2, 32
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(0xD1B54A32D192ED03)
@@ -100,12 +100,12 @@ def sketch(documents: DataFrame, *, n: int = WORDS, bands: int = BANDS, rows: in
     return keyed.mapInArrow(sketched, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
 
 
-def similarity(pairs: DataFrame, texts: DataFrame, n: int = WORDS, *, added: bool = False) -> DataFrame:
-    """Of each pair (a, b) of nodes: similarity (Jaccard, of the whole shingle sets), overlap
-    (shingles of both), words (shingles of b) and, if asked for, b's shingles that a hasn't."""
+def similarity(pairs: DataFrame, texts: DataFrame, n: int = WORDS) -> DataFrame:
+    """Of each pair (a, b, central) of nodes: similarity (Jaccard, of the whole shingle sets), overlap
+    (shingles of both), words (shingles of b) and, if a is central, b's shingles that a hasn't."""
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    met = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
+    met = pairs.join(b, "b").join(a, "a").select("a", "b", "central", "a_text", "b_text")
 
     def compared(batches):
         for batch in batches:
@@ -113,7 +113,7 @@ def similarity(pairs: DataFrame, texts: DataFrame, n: int = WORDS, *, added: boo
                 part = batch.slice(at, 256)
                 both = pa.concat_arrays([part["a_text"], part["b_text"]]).take(pa.array(np.arange(2 * len(part)).reshape(2, -1).T.ravel()))
                 sets: list[np.ndarray] = []
-                out, more = [], []
+                out, more, central = [], [], part["central"].to_pylist()
                 for _, data, offsets in blocks(both):  # a pair's texts stand together
                     row, shingle, _ = weighted_shingles(data, offsets, n)
                     ends = np.searchsorted(row, np.arange(len(offsets)))
@@ -123,18 +123,19 @@ def similarity(pairs: DataFrame, texts: DataFrame, n: int = WORDS, *, added: boo
                             x, y = sets
                             shared = len(np.intersect1d(x, y, assume_unique=True))
                             out.append((shared / max(len(x) + len(y) - shared, 1), shared, len(y)))
-                            more.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64) if added else np.zeros(0, np.int64))
+                            more.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64) if central[len(more)] else np.zeros(0, np.int64))
                             sets = []
                 figures = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, more)]), pa.int32()), pa.array(np.concatenate([*more, np.zeros(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([part["a"], part["b"], *figures, lists], ["a", "b", "similarity", "overlap", "words", "added"])
+                yield pa.RecordBatch.from_arrays([part["a"], part["b"], part["central"], *figures, lists], ["a", "b", "central", "similarity", "overlap", "words", "added"])
 
-    return met.mapInArrow(compared, "a binary, b binary, similarity double, overlap long, words long, added array<long>")
+    return met.mapInArrow(compared, "a binary, b binary, central boolean, similarity double, overlap long, words long, added array<long>")
 
 
 def _mixed(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (bucket, node, root) of buckets with more than one component. Bounds are written
-    first: the join's sides are then plain exchanges, which adaptive execution splits."""
+    """The rows (bucket, node, root) of buckets with more than one component. Rows and bounds are
+    written: the join's sides are then plain exchanges, which adaptive execution splits."""
+    rows = written(rows, name)
     bounds = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     return written(rows.join(written(bounds, name), "bucket", "left_semi"), name)
 
@@ -147,9 +148,9 @@ class Search:
         self.found = self.roots = self.seen = None
         self.more = False
 
-    def compare(self, pairs: DataFrame, *, added: bool = False) -> DataFrame:
-        """Compare pairs (a, b) and keep what links; components follow in ``join``."""
-        told = written(similarity(pairs, self.texts, self.n, added=added), "near-compared")
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """Compare pairs (a, b, central) and keep what links; components follow in ``join``."""
+        told = written(similarity(pairs, self.texts, self.n), "near-compared")
         links = told.where(F.col("similarity") >= self.threshold).select("a", "b")
         self.more = self.more or self.found is None or not links.isEmpty()
         self.found = links if self.found is None else self.found.unionByName(links)
@@ -164,7 +165,7 @@ class Search:
 
     def new(self, pairs: DataFrame) -> DataFrame:
         """Pairs that weren't compared yet, each once, the lesser node first."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("central")).distinct()
         return written(pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti"), "near-pairs")
 
     def rooted(self, rows: DataFrame) -> DataFrame:
@@ -195,22 +196,25 @@ def links(buckets: DataFrame, texts: DataFrame, *, threshold: float = SIMILARITY
     left, hard = buckets, []
     for level in range(LEVELS):
         sizes = written(left.groupBy("bucket").agg(F.count("*").alias("size")), "near-sizes")
-        sized = left.join(sizes, "bucket").select("bucket", "node", "size")
+        sized = written(left.join(sizes, "bucket").select("bucket", "node", "size"), "near-sized")
         small = sized.where(F.col("size").between(2, SMALL)).select("bucket", "node")
-        large = written(sized.where(F.col("size") > SMALL), "near-large")
-        told = None if large.isEmpty() else search.compare(_centres(large), added=True)
+        large = sized.where(F.col("size") > SMALL)
+        crowded = not large.isEmpty()
+        first = [_centres(large)] if crowded else []
         if level == 0:
             least = small.groupBy("bucket").agg(F.min("node").alias("a"))
-            search.compare(search.new(small.withColumnRenamed("node", "b").join(least, "bucket").where("a < b")))
+            first.append(search.new(small.withColumnRenamed("node", "b").join(least, "bucket").where("a < b")))
+        told = search.compare(reduce(DataFrame.unionByName, first)) if first else None
         search.join()
         rooted = search.rooted(small)
         pairs = rooted.select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root")).join(rooted.withColumnRenamed("node", "b"), "bucket").where("a < b and a_root <> root").select("a", "b")
-        if told is not None:
-            left, crossed, close = _parted(large, told, search)
-            hard.append(crossed)
+        if crowded:
+            left, crossed, close = _parted(large, told.where("central"), search)
+            if crossed is not None:
+                hard.append(crossed)
             pairs = pairs.unionByName(close)
         search.compare(search.new(pairs))
-        if told is None or left.isEmpty():
+        if not crowded or left.isEmpty():
             break
     else:
         hard.append(left)
@@ -232,10 +236,10 @@ def _centres(large: DataFrame) -> DataFrame:
         # a node is in as many large buckets as it has bands, or added shingles, at most
         of_bucket = written(large.join(best, "node").groupBy("bucket").agg(F.max("best").alias("best")), "near-best")
         best = large.join(of_bucket, "bucket").groupBy("node").agg(F.max("best").alias("best"))
-    return written(best.select(F.col("best.node").alias("a"), F.col("node").alias("b")).where("a <> b"), "near-centres")
+    return written(best.select(F.col("best.node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("central")).where("a <> b"), "near-centres")
 
 
-def _parted(large: DataFrame, told: DataFrame, search: Search) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _parted(large: DataFrame, told: DataFrame, search: Search) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """After the nodes of large buckets met their centres: the finer buckets with several
     components, the rows of buckets with several centres, and the pairs that may be linked
     by what they share with their centre alone."""
@@ -255,13 +259,15 @@ def _parted(large: DataFrame, told: DataFrame, search: Search) -> tuple[DataFram
     near = written(near.withColumn("centre", F.coalesce("centre", "node")), "near-large")
     several = near.groupBy("bucket").agg(F.min("centre").alias("low"), F.max("centre").alias("high")).where("low < high").select("bucket")
     several = written(several, "near-several")
-    crossed = near.join(several, "bucket", "left_semi").select("bucket", "node", "root")
-    crossed = _mixed(crossed, "near-crossed").select("bucket", "node")
+    crossed, alone = None, near.where("overlap is not null")
+    if not several.isEmpty():
+        crossed = _mixed(near.join(several, "bucket", "left_semi").select("bucket", "node", "root"), "near-crossed").select("bucket", "node")
+        alone = alone.join(several, "bucket", "left_anti")
 
     # s and c need an overlap of t (|s| + |c|): what s shares with p allows sizes of c up to overlap / t - |s|.
     # In such a pair at least one allows its own size: the smaller one, close to a part of p.
     t = search.threshold / (1 + search.threshold)
-    alone = near.where("overlap is not null").join(several, "bucket", "left_anti").withColumn("allows", F.col("overlap") / F.lit(t) - F.col("words") + 1e-6)
+    alone = alone.withColumn("allows", F.col("overlap") / F.lit(t) - F.col("words") + 1e-6)
     alone = alone.select("bucket", "node", "root", "words", "allows", "linked", (F.col("allows") >= F.col("words")).alias("part"))
     # those linked to the centre are of one component: one of a pair isn't
     bounds = alone.groupBy("bucket").agg(
@@ -280,17 +286,22 @@ def _parted(large: DataFrame, told: DataFrame, search: Search) -> tuple[DataFram
 
 def _by_pivots(left: DataFrame, search: Search) -> None:
     """Compare members of different components: some pivots of a bucket with all others, then twice as many."""
-    each = SMALL
+    each = PIVOTS
     left = _mixed(search.rooted(left.distinct()), "near-left")
     while not left.isEmpty():
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
         pivots = left.withColumn("i", place).where(F.col("i") <= each).select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"))
         pivots = written(pivots, "near-pivots")
         search.compare(search.new(left.withColumnRenamed("node", "b").join(pivots, "bucket").where("a < b and a_root <> root")))
-        search.join()
         # pivots have met all others
-        rest = left.select("bucket", "node").join(pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        larger = left.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > each + 1).select("bucket")
+        larger = written(larger, "near-larger")
+        if larger.isEmpty():
+            break
+        search.join()
+        rest = left.select("bucket", "node").join(larger, "bucket", "left_semi").join(pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
         left, each = _mixed(search.rooted(rest), "near-left"), each * 2
+    search.join()
 
 
 def classes(documents: DataFrame, *, threshold: float = SIMILARITY, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

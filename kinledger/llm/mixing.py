@@ -9,8 +9,9 @@ sample whose size in words is fixed, not merely expected.
 
 The order is found without sorting a source in one task: a document's rank value falls into
 one of many equal bins, the words of each bin are summed, and only the bin in which the
-source's remainder runs out is ordered row by row. The bins' number follows from the
-largest source's count of documents, so a bin holds about ``BIN_ROWS`` of them.
+source's remainder runs out is ordered row by row. There are as many bins as the
+root of the largest source's count of documents, and about as many documents in a bin, so
+neither the running sum over bins nor the order within one outgrows a task.
 
 Null text has size 0; null source is a source, last in order. A size of 0 is never taken
 again. Repeated rows rank together: rows with one doc_id, source and size are one block,
@@ -30,7 +31,7 @@ WEIGHTS = (5, 2, 1)
 #: Of all words, and of a source's words at most.
 TOTAL, MOST = 1.5, 2.0
 SEED = "mix-1"
-BIN_ROWS = 5_000
+LEAST_BINS = 256
 
 
 def n_words(text) -> F.Column:
@@ -68,17 +69,17 @@ def rank_of(doc_id, size, inclusion) -> F.Column:
     return x / (x + (1 - u) * inclusion)
 
 
-def mix(documents: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, bin_rows: int = BIN_ROWS) -> DataFrame:
+def mix(documents: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
     """``documents`` with size, source_size, target, copies (how often the mix holds the row) and
     taken (copies times size); columns of these names are replaced.
 
-    Sizes are counted and written once to find the plan of each source and the bin at which
-    it ends. Both are a row a source, so rows of ``documents`` meet them where they lie, and
-    only those of the bins at an edge are shuffled.
+    Sizes are counted and written once to find each source's plan, and the rank of the last
+    document that it draws. Both are a row a source, so ``documents`` meets them where it
+    lies and isn't shuffled.
     """
     sized = written(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     by = written(targets(sized, weights=weights, total=total, most=most), "mix-targets")
-    bins = max(64, math.ceil((by.agg(F.max("docs")).first()[0] or 0) / bin_rows))
+    bins = max(LEAST_BINS, math.isqrt(by.agg(F.max("docs")).first()[0] or 0))
     some = F.col("source_size") > 0
     plan = by.withColumn("certain", F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("remainder", F.col("target") - F.col("certain") * F.col("source_size"))
@@ -89,22 +90,22 @@ def mix(documents: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, most: fl
     words = ranked.where("__rank is not null").groupBy("__source", "__bin").agg(F.sum("size").alias("words"), F.min("__remainder").alias("remainder"))
     words = words.withColumn("upto", F.sum("words").over(Window.partitionBy("__source").orderBy("__bin"))).withColumn("before", F.col("upto") - F.col("words"))
     # the first bin at whose end the words exceed the remainder
-    edges = words.where(F.col("upto") > F.col("remainder")).groupBy(F.col("__source").alias("__edge_source")).agg(F.min("__bin").alias("__edge"), F.min_by("before", "__bin").alias("__before"))
+    edges = words.where(F.col("upto") > F.col("remainder")).groupBy(F.col("__source").alias("__of")).agg(F.min("__bin").alias("__edge"), F.min_by("before", "__bin").alias("before"))
     edges = written(edges, "mix-edges")
+    # in it, rows that repeat have one rank: a range frame keeps them together
+    inside = ranked.join(edges, F.col("__source").eqNullSafe(F.col("__of"))).where(F.col("__bin") == F.col("__edge"))
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("__of", "__bin").orderBy("__rank"))
+    block = F.sum("size").over(Window.partitionBy("__of", "__bin", "__rank"))
+    # the row at which the words run out is taken if that comes nearer to the target
+    last = F.max(F.when(F.col("upto") - F.col("block") / 2.0 <= F.col("__remainder"), F.col("__rank"))).alias("__last")
+    ends = written(inside.withColumn("upto", upto).withColumn("block", block).groupBy("__of", "__edge").agg(last), "mix-ends")
 
     carried = documents.drop("size", "source_size", "target", "copies", "taken")
     rows = _ranked(carried.withColumn("size", n_words(F.col("text"))), plan, bins)
-    rows = rows.join(edges, F.col("__source").eqNullSafe(F.col("__edge_source")), "left")
-    at_edge = F.coalesce(F.col("__bin") == F.col("__edge"), F.lit(False))
-    # rows that repeat have one rank: a range frame keeps them together
-    upto = F.col("__before") + F.sum("size").over(Window.partitionBy("__source", "__bin").orderBy("__rank"))
-    block = F.sum("size").over(Window.partitionBy("__source", "__bin", "__rank"))
-    # the row at which the words run out is taken if that comes nearer to the target
-    edge = rows.where(at_edge).withColumn("__more", (upto - block / 2.0 <= F.col("__remainder")).cast("long"))
-    below = F.col("__bin").isNotNull() & (F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge")))
-    done = rows.where(~at_edge).withColumn("__more", below.cast("long")).unionByName(edge)
-    copies = F.col("__certain") + F.col("__more")
-    return done.select(*carried.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    rows = rows.join(ends, F.col("__source").eqNullSafe(F.col("__of")), "left")
+    drawn = F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge")) | (F.col("__bin") == F.col("__edge")) & (F.col("__rank") <= F.col("__last"))
+    copies = F.col("__certain") + F.when(F.col("__bin").isNotNull() & drawn, 1).otherwise(0)
+    return rows.select(*carried.columns, "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def _ranked(rows: DataFrame, plan: DataFrame, bins: int) -> DataFrame:

@@ -23,7 +23,7 @@ from .common import table
 
 BITS = 16
 #: Most labelled rows that a fit reads, those whose doc_id hashes lowest; a documented bound.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 #: Kept if the calibrated probability of quality 1 is at least this.
 THRESHOLD = 0.5
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
@@ -131,8 +131,8 @@ def train(sizes, buckets, shares, good, calibrate, *, steps: int = 120, rate: fl
         p = (good.sum() + 1) / (n + 1)
         model.bias = float(np.log(p / (1 - p))) if p < 1 else 30.0
         return model
-    of = np.repeat(np.arange(n), sizes)
-    x = shares * SCALE
+    of = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    x = shares * np.float32(SCALE)
     fold = (~calibrate).astype(float) if (~calibrate).any() else np.ones(n)
     fold /= fold.sum()
     # both classes weigh the same, as a good text is far more common

@@ -30,10 +30,12 @@ BITS = 17
 ORDERS = (3, 4, 5)
 DIMENSIONS = 8
 #: Most labelled rows that a fit reads, those whose doc_id hashes lowest; a documented bound.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 THRESHOLD = 0.3
 #: A bucket in fewer of the sampled texts than this share has no weight: too rare to learn from.
 LEAST_SHARE = 0.005
+#: Texts of a mini-batch.
+BATCH = 256
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _FOLD = np.where(ALNUM, LOWER, 32).astype(np.uint8)
@@ -98,7 +100,7 @@ def bags(column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(buckets), pa.array(counts)], ["bucket", "n"]))
 
 
-def train(sizes: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.ndarray, *, epochs: int = 30, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
+def train(sizes: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.ndarray, *, steps: int = 600, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
     """Fit embeddings and softmax together by Adam over shuffled mini-batches.
 
     sizes: buckets of each text, which buckets and counts hold one text after another.
@@ -111,36 +113,39 @@ def train(sizes: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.
         p = (toxic.sum() + 0.5) / (n_texts + 1)
         return ToxicityModel(np.zeros(1 << BITS), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
-    common = np.bincount(buckets, minlength=1 << BITS) >= LEAST_SHARE * n_texts
-    share = np.where(common[buckets], counts, 0) / np.repeat(np.maximum(np.bincount(np.repeat(np.arange(n_texts), sizes), counts, n_texts), 1), sizes)
     ends = np.concatenate([[0], np.cumsum(sizes)])
+    common = np.bincount(buckets, minlength=1 << BITS) >= LEAST_SHARE * n_texts
+    share = counts.astype(np.float32)
+    for a, z in zip(ends[:-1], ends[1:]):
+        share[a:z] /= max(share[a:z].sum(), 1)
+    share[~common[buckets]] = 0
     embeddings = rng.normal(0, 0.1, (1 << BITS, DIMENSIONS)).astype(np.float32)
     classes, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2)
     bias[1] = np.log(toxic.mean() / (1 - toxic.mean()))
     state = [np.zeros_like(x, np.float32) for x in (embeddings, embeddings, classes, classes, bias, bias)]
-    step, batch = 0, 256
-    for epoch in range(epochs):
-        order = rng.permutation(n_texts)
-        for first in range(0, n_texts, batch):
-            texts = order[first : first + batch]
-            where = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in texts])
-            of = np.repeat(np.arange(len(texts)), sizes[texts])
-            x, g = share[where], buckets[where]
-            difference = classes[:, 1] - classes[:, 0]
-            logit = np.bincount(of, x * (embeddings @ difference)[g], len(texts)) + bias[1] - bias[0]
-            error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic[texts]) / len(texts)
-            by_bucket = np.bincount(g, x * error[of], 1 << BITS).astype(np.float32)
-            toward = embeddings.T @ by_bucket
-            gradients = (by_bucket[:, None] * difference, np.stack([-toward, toward], 1), np.array([-error.sum(), error.sum()]))
-            step += 1
-            pace = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, (value, gradient) in enumerate(zip((embeddings, classes, bias), gradients)):
-                m, v = state[2 * k], state[2 * k + 1]
-                m *= 0.9
-                m += 0.1 * gradient
-                v *= 0.999
-                v += 0.001 * gradient**2
-                value -= (pace * m / (np.sqrt(v) + 1e-5)).astype(value.dtype)
+    order, at = rng.permutation(n_texts), 0
+    for step in range(1, steps + 1):
+        if at >= n_texts:
+            order, at = rng.permutation(n_texts), 0
+        texts = order[at : at + BATCH]
+        at += BATCH
+        where = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in texts])
+        of = np.repeat(np.arange(len(texts)), sizes[texts])
+        x, g = share[where], buckets[where]
+        difference = classes[:, 1] - classes[:, 0]
+        logit = np.bincount(of, x * (embeddings @ difference)[g], len(texts)) + bias[1] - bias[0]
+        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic[texts]) / len(texts)
+        by_bucket = np.bincount(g, x * error[of], 1 << BITS).astype(np.float32)
+        toward = embeddings.T @ by_bucket
+        gradients = (by_bucket[:, None] * difference, np.stack([-toward, toward], 1), np.array([-error.sum(), error.sum()]))
+        pace = rate * (1 - (step - 1) / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        for k, (value, gradient) in enumerate(zip((embeddings, classes, bias), gradients)):
+            m, v = state[2 * k], state[2 * k + 1]
+            m *= 0.9
+            m += 0.1 * gradient
+            v *= 0.999
+            v += 0.001 * gradient**2
+            value -= (pace * m / (np.sqrt(v) + 1e-5)).astype(value.dtype)
     difference = classes[:, 1] - classes[:, 0]
     return ToxicityModel(np.where(common, embeddings @ difference, 0).astype(np.float32), float(bias[1] - bias[0]))
 
@@ -169,12 +174,18 @@ def fit(documents: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS) -> T
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], bags(batch["text"])], ["doc_id", "toxic", "bag"])
 
-    found = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(bag, "doc_id long, toxic int, bag array<struct<bucket: int, n: int>>").toArrow().combine_chunks().sort_by("doc_id")
-    if not found.num_rows:
-        return train(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    lists = found["bag"].combine_chunks()
-    flat = lists.flatten()
-    return train(np.diff(lists.offsets.to_numpy()), flat.field("bucket").to_numpy(), flat.field("n").to_numpy(), (found["toxic"].to_numpy() > 0).astype(float))
+    found = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(bag, "doc_id long, toxic int, bag array<struct<bucket: int, n: int>>").toArrow()
+    # the same order of texts at each run; the bags are copied once, as numbers
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    toxic = (found["toxic"].to_numpy()[order] > 0).astype(float)
+    bags_of = [chunk for chunk in found["bag"].chunks]
+    del found
+    lists = [b.flatten() for b in bags_of]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(b.offsets.to_numpy()) for b in bags_of)])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    where = np.concatenate([np.zeros(0, np.int32), *(np.arange(ends[i], ends[i + 1], dtype=np.int32) for i in order)])
+    buckets, counts = (np.concatenate([np.zeros(0, np.int32), *(x.field(name).to_numpy() for x in lists)])[where] for name in ("bucket", "n"))
+    return train(sizes[order], buckets, counts, toxic)
 
 
 def score(documents: DataFrame, model: ToxicityModel, *, column: str = "toxicity") -> DataFrame:

@@ -59,6 +59,7 @@ def test_near_duplicates_against_all_pairs(spark, edited, monkeypatch, levels):
     monkeypatch.setattr(minhash, "LEVELS", max(levels, 1))
     if not levels:  # all buckets by pivots
         monkeypatch.setattr(minhash, "SMALL", 2)
+        monkeypatch.setattr(minhash, "PIVOTS", 1)
     docs = spark.createDataFrame(list(edited.items()), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
     assert got == classes(edited)
