@@ -11,8 +11,16 @@ words. A run goes on from a chunk to the next only if the two stand together ear
 short lines that many documents share (a licence line, a byline) stay, even beside a
 passage that goes.
 
-Chunks meet by hash in partial sums (least and greatest occurrence), never in one group.
-Only chunks whose hash occurs again have their bytes sent, to their first occurrence's.
+Where lines are short, the chunk at either edge of a passage takes in lines of the host, so
+chunks alone lose it. There windows decide as well: from each line on, and back from each
+line, the shortest run of lines that has ``least_words`` words. Each line of a passage that
+long stands in a window inside the passage, whatever stands around it, so a window that
+stands earlier goes, and with it every passage of ``least_words`` words, to its last line.
+Windows of heavy lines alone aren't made: their chunks are these lines.
+
+Chunks and windows meet by hash in partial sums (least and greatest occurrence), never in one
+group. Only those whose hash occurs again have their bytes sent, to their first occurrence's;
+of a document's windows as many as cover the same lines, so no line is in more than two.
 
 Null text stays null and has no chunk; the empty text is one empty line, which is never
 removed. Rows that repeat a doc_id and text are one document and are treated alike. A null
@@ -38,10 +46,11 @@ SPREAD = 2
 LEAST_WORDS = 50
 
 _OLDER = np.uint64(0x9E3779B97F4A7C15)
+_WINDOW = np.uint64(0xD1B54A32D192ED03)
 
 
-def chunk_table(data, offsets, heavy: int = HEAVY, spread: int = SPREAD):
-    """row, start, end (bytes, with the breaks between the lines), words and hash of each chunk."""
+def _counted_lines(data, offsets):
+    """Start, end, row and number of words of each line."""
     start, end, row = lines(data, offsets)
     inside = NOT_SPACE[data]
     opens = inside.copy()
@@ -49,7 +58,12 @@ def chunk_table(data, offsets, heavy: int = HEAVY, spread: int = SPREAD):
     at = offsets[:-1][offsets[:-1] < len(data)]
     opens[at] = inside[at]
     total = np.concatenate([[0], np.cumsum(opens)])
-    words = total[end] - total[start]
+    return start, end, row, total[end] - total[start]
+
+
+def chunk_table(data, offsets, heavy: int = HEAVY, spread: int = SPREAD):
+    """row, start, end (bytes, with the breaks between the lines), words and hash of each chunk."""
+    start, end, row, words = _counted_lines(data, offsets)
     h = span_hashes(data, start, end)
     before = np.concatenate([[0], h[:-1]]).astype(np.uint64)
     before[np.concatenate([[True], row[1:] != row[:-1]])] = 0
@@ -65,28 +79,62 @@ def chunk_table(data, offsets, heavy: int = HEAVY, spread: int = SPREAD):
     return row[starts], a, b, counts[ends + 1] - counts[starts], span_hashes(data, a, b)
 
 
+def window_table(data, offsets, heavy: int = HEAVY, least_words: int = LEAST_WORDS):
+    """row, start, end (bytes), first and last line (of the row's lines with words) and hash of each
+    window that has a line of fewer than ``heavy`` words."""
+    start, end, row, words = _counted_lines(data, offsets)
+    start, end, row, words = (x[words > 0] for x in (start, end, row, words))
+    total, n, least = np.concatenate([[0], np.cumsum(words)]), len(words), max(least_words, 1)
+    line = np.arange(n)
+    on = np.stack([line, np.searchsorted(total, total[:-1] + least) - 1])
+    back = np.stack([np.searchsorted(total, total[1:] - least, "right") - 1, line])
+    both = np.concatenate([on, back], 1)
+    low, high = both[:, (both[0] >= 0) & (both[1] < n)]
+    light = np.concatenate([[0], np.cumsum(words < heavy)])
+    inside = (row[low] == row[high]) & (light[high + 1] > light[low])
+    low, high = np.divmod(np.unique(low[inside] * n + high[inside]), max(n, 1))
+    a, b, of = start[low], end[high], row[low]
+    first = np.searchsorted(row, of)
+    return of, a, b, low - first, high - first, mix(span_hashes(data, a, b) ^ _WINDOW)
+
+
+def _pieces(data, offsets, heavy: int, spread: int, least_words: int):
+    """row, start, end, hash, first and last line of each row's chunks (lines: -1), then its windows."""
+    row, a, b, _, h = chunk_table(data, offsets, heavy, spread)
+    of, x, y, low, high, g = window_table(data, offsets, heavy, least_words)
+    none = np.full(len(row), -1)
+    order = np.argsort(np.concatenate([row, of]), kind="stable")
+    return tuple(np.concatenate(both)[order] for both in ((row, of), (a, x), (b, y), (h, g), (none, low), (none, high)))
+
+
 def _key(documents: DataFrame) -> DataFrame:
     """``documents`` with ``key``, the MD5 of the text."""
     return documents.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
 
 
-def chunks(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD) -> DataFrame:
-    """doc_id, key, place and hash of each chunk that has words, and the hash of it with the one before."""
+def chunks(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, key, place and hash of each chunk that has words, and the hash of it with the one before
+    (pair); the same of each window, whose places follow the chunks', with its lines (low, high) and no pair."""
 
     def cut(batches):
         for batch in batches:
             for first, data, offsets in blocks(batch["text"]):
-                row, _, _, words, h = chunk_table(data, offsets, heavy, spread)
+                row, a, b, h, low, high = _pieces(data, offsets, heavy, spread, least_words)
                 place = np.arange(len(row)) - np.searchsorted(row, row)
-                some = words > 0
-                row, place, h = row[some], place[some].astype(np.int32), h[some]
+                worded = np.concatenate([[0], np.cumsum(NOT_SPACE[data])])
+                some = worded[b] > worded[a]
+                row, place, h, low, high = row[some], place[some].astype(np.int32), h[some], low[some].astype(np.int32), high[some].astype(np.int32)
                 pair = mix(h + np.concatenate([[0], h[:-1]]).astype(np.uint64) * _OLDER).view(np.int64)
-                lone = np.concatenate([[True], row[1:] != row[:-1]])
+                window = low >= 0
+                lone = np.concatenate([[True], row[1:] != row[:-1]]) | window
                 at = pa.array(first + row)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["key"].take(at), pa.array(place), pa.array(h.view(np.int64)), pa.array(pair, mask=lone)], ["doc_id", "key", "place", "hash", "pair"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].take(at), batch["key"].take(at), pa.array(place), pa.array(h.view(np.int64)), pa.array(pair, mask=lone), pa.array(low, mask=~window), pa.array(high, mask=~window)],
+                    ["doc_id", "key", "place", "hash", "pair", "low", "high"],
+                )
 
     keyed = _key(documents.where("text is not null").select("doc_id", "text")).select("doc_id", "key", "text")
-    return keyed.mapInArrow(cut, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key binary, place int, hash long, pair long")
+    return keyed.mapInArrow(cut, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key binary, place int, hash long, pair long, low int, high int")
 
 
 def _packed(documents: DataFrame) -> DataFrame:
@@ -102,8 +150,8 @@ def _packed(documents: DataFrame) -> DataFrame:
     return keyed.mapInArrow(pack, StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in keyed.schema]))
 
 
-def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int) -> DataFrame:
-    """The bytes of the chunks at ``wanted`` (w_doc_id, w_key, places: array of structs place, is_first,
+def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int, least_words: int) -> DataFrame:
+    """The bytes of the chunks and windows at ``wanted`` (w_doc_id, w_key, places: array of structs place, is_first,
     joined), from whole texts."""
 
     def cut(batches):
@@ -114,7 +162,7 @@ def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int)
             flat = places.flatten()
             place, is_first, joined = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("place", "is_first", "joined"))
             for first, data, offsets in blocks(unpacked(batch["text"])):
-                row, a, b, _, h = chunk_table(data, offsets, heavy, spread)
+                row, a, b, h, _, _ = _pieces(data, offsets, heavy, spread, least_words)
                 starts = np.searchsorted(row, np.arange(len(offsets) - 1))
                 n = sizes[first : first + len(starts)]
                 mine = slice(ends[first], ends[first + len(starts)])
@@ -133,22 +181,57 @@ def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int)
     return found.mapInArrow(cut, f"hash long, is_first boolean, joined boolean, doc_id {kind}, key binary, place int, bytes binary")
 
 
-def repeated(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD) -> DataFrame:
-    """doc_id, key and places of the chunks whose bytes stand earlier too: sorted structs of place
-    and joined, which says whether the chunk stands earlier with the one before it."""
-    cut = written(chunks(documents, heavy=heavy, spread=spread), "chunks")
+def _cover(windows: DataFrame) -> DataFrame:
+    """Of each document's windows (doc_id, key, place, hash, low, high) some that stand on the same lines."""
+    names = ["doc_id", "key", "place", "hash"]
+    entry = F.struct("low", "high", "place", "hash")
+    listed = windows.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(entry)).alias("windows"))
+
+    def chosen(batches):
+        for batch in batches:
+            sizes = np.diff(batch["windows"].offsets.to_numpy())
+            flat = batch["windows"].flatten()
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            low, high = (flat.field(x).to_numpy() for x in ("low", "high"))
+            taken, doc, done, best = [], -1, -1, -1  # best: the farthest that leaves no line before it open
+            for i, (d, x, y) in enumerate(zip(of.tolist(), low.tolist(), high.tolist())):
+                if best >= 0 and (d != doc or x > done + 1):
+                    taken.append(best)
+                    done, best = high[best], -1
+                if d != doc:
+                    doc, done, best = d, -1, -1
+                if best < 0 and y > done or best >= 0 and y > high[best]:
+                    if best < 0 and x > done + 1:
+                        done = x - 1
+                    best = i
+            if best >= 0:
+                taken.append(best)
+            at, doc = pa.array(np.array(taken, np.int64)), pa.array(of[taken] if taken else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(doc), batch["key"].take(doc), flat.field("place").take(at), flat.field("hash").take(at)], names)
+
+    return listed.mapInArrow(chosen, windows.select(*names).schema)
+
+
+def repeated(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, key and places of the chunks and windows whose bytes stand earlier too: sorted structs of
+    place and joined, which says whether the chunk stands earlier with the one before it."""
+    cut = written(chunks(documents, heavy=heavy, spread=spread, least_words=least_words), "chunks")
     place = F.struct("doc_id", "key", "place")
     ends = cut.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
     # written, so that the join below has plain exchanges, which adaptive execution splits
     ends = written(ends, "chunk-firsts")
-    again = written(cut.join(ends, "hash").select("doc_id", "key", "place", "pair", (place == F.col("first")).alias("is_first")), "chunk-again")
+    again = written(cut.join(ends, "hash").select("doc_id", "key", "place", "hash", "pair", "low", "high", (place == F.col("first")).alias("is_first")), "chunk-again")
     pairs = again.where("pair is not null").groupBy("pair").agg(F.min(place).alias("first_pair"), F.max(place).alias("last_pair"))
     pairs = written(pairs.where("first_pair <> last_pair").drop("last_pair"), "chunk-pairs")
-    again = again.join(pairs, "pair", "left").select("doc_id", "key", "place", "is_first", F.coalesce(place != F.col("first_pair"), F.lit(False)).alias("joined"))
-    # places of a document are as many as its lines
+    windows = written(_cover(again.where("low is not null and not is_first")), "chunk-windows")
+    firsts = again.where("low is not null and is_first").join(windows.select("hash").distinct(), "hash", "left_semi")
+    windows = windows.select("doc_id", "key", "place", F.lit(False).alias("is_first")).unionByName(firsts.select("doc_id", "key", "place", "is_first"))
+    again = again.where("low is null").join(pairs, "pair", "left").select("doc_id", "key", "place", "is_first", F.coalesce(place != F.col("first_pair"), F.lit(False)).alias("joined"))
+    again = again.unionByName(windows.withColumn("joined", F.lit(False)))
+    # places of a document are three times its lines at most
     entry = F.struct("place", "is_first", "joined")
     wanted = again.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("key").alias("w_key")).agg(F.sort_array(F.collect_set(entry)).alias("places"))
-    texts = written(_bytes_of(documents, wanted, heavy, spread), "chunk-bytes")
+    texts = written(_bytes_of(documents, wanted, heavy, spread, least_words), "chunk-bytes")
     first = texts.where("is_first").select("hash", F.col("bytes").alias("first_bytes"))
     same = texts.where("not is_first").join(first, "hash").where("bytes = first_bytes")
     return same.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("place", "joined"))).alias("places"))
@@ -160,7 +243,7 @@ def dedup_lines(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREA
     added = [f"{prefix}n_lines_removed", f"{prefix}n_words_removed"]
     kept = documents.drop(*added)
     names = kept.columns
-    found = written(repeated(documents, heavy=heavy, spread=spread), "chunk-places").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("places").alias("__places"))
+    found = written(repeated(documents, heavy=heavy, spread=spread, least_words=least_words), "chunk-places").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("places").alias("__places"))
     ready = _packed(kept.withColumnRenamed("key", "__own_key"))
     joined = ready.join(found, ready.doc_id.eqNullSafe(F.col("__doc")) & ready.key.eqNullSafe(F.col("__key")), "left").drop("key", "__doc", "__key")
 
@@ -174,19 +257,24 @@ def dedup_lines(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREA
                 _, a, b, words, _ = chunk_table(data, offsets, heavy, spread)
                 flat = listed[int(i)].values
                 repeated = dict(zip(flat.field("place").to_pylist(), flat.field("joined").to_pylist()))
-                gone, run = np.zeros(len(a), bool), []
+                start, end, _, per_line = _counted_lines(data, offsets)
+                gone, run = np.zeros(len(start), bool), []
                 for x in [*np.flatnonzero(words > 0).tolist(), None]:
                     if run and not repeated.get(x, False):  # the run ends before x
                         if words[run].sum() >= least_words:
-                            gone[run[0] : run[-1] + 1] = True  # with the blank lines inside
+                            gone[(start >= a[run[0]]) & (end <= b[run[-1]])] = True  # with the blank lines inside
                         run = []
                     if x in repeated:
                         run.append(x)
+                listed_windows = [x - len(a) for x in repeated if x >= len(a)]
+                if listed_windows:
+                    _, x, y, _, _, _ = window_table(data, offsets, heavy, least_words)
+                    for k in listed_windows:
+                        gone[np.searchsorted(start, x[k]) : np.searchsorted(end, y[k], "right")] = True
                 if gone.any():
                     text = data.tobytes()
-                    new[int(i)] = b"\n".join(text[x:y] for x, y in zip(a[~gone], b[~gone]))
-                    n_words[i] = words[gone].sum()
-                    n_lines[i] = sum(text[x:y].count(b"\n") + 1 for x, y in zip(a[gone], b[gone]))
+                    new[int(i)] = b"\n".join(text[x:y] for x, y in zip(start[~gone], end[~gone]))
+                    n_words[i], n_lines[i] = per_line[gone].sum(), gone.sum()
             columns, at = list(batch.columns[: len(names)]), names.index("text")
             columns[at] = texts
             if new:
