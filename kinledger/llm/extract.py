@@ -2,10 +2,11 @@
 
 A page is a sequence of words and tags. Words score positive, less in links, and negative
 in what is marked as chrome; tags score negative. The weights are log-odds of a kind
-of token inside and outside the article, counted on labelled pages. One linear scan finds
-the contiguous run with the greatest sum. The run is then fitted to the page's own
-``article`` or ``main`` elements if it lies on any, and what is marked as chrome inside it
-(menus, asides, forms, adverts, comments) is left out.
+of token inside and outside the article, counted on labelled pages; where a page has an
+``article`` or ``main`` of its own, so are those of standing in it and beside it. One linear
+scan finds the contiguous run with the greatest sum, whose bounds stay as they are. Elements
+that hold less than half the sum of a run found without them (teasers) count for nothing.
+What is marked as chrome inside the run (menus, asides, forms, adverts, comments) is left out.
 
 Text keeps page order: character references decoded, white space inside a block turned into
 one space and trimmed, blocks joined by one space. Null and empty pages give the empty text,
@@ -42,22 +43,28 @@ _CHROME_WORDS = frozenset(
     "popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription tags toolbar widget widgets".split()
 )
+#: Words beside them in a name: ``ad-slot`` is chrome, ``with-sidebar`` isn't.
+_BOX_WORDS = frozenset("area bar block bottom box button buttons container inner item items left link links list main outer post posts primary right row secondary section site slot stories top unit wrap wrapper".split())
 #: Chrome only outside an article: an article's own header holds its title.
 _PAGE_HEADER = frozenset("header masthead topbar".split())
 _HOMES = frozenset("article main".split())
 _ENDS_P = frozenset("p div ul ol li h1 h2 h3 h4 h5 h6 table section article main aside nav header footer form blockquote pre hr dl".split())
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool, str | None]:
-    """Is the element chrome, is it a page header, which home of an article is it."""
-    chrome, header, home = name in _CHROME_TAGS, name in _PAGE_HEADER, name if name in _HOMES else None
+def _says(value: str, words: frozenset) -> bool:
+    """Does a whole name in a class, id or role consist of ``words``, and words for boxes."""
+    return any(parts & words and parts <= words | _BOX_WORDS for parts in (frozenset(_WORD.findall(x)) for x in value.split()))
+
+
+def _marks(name: str, attributes: str) -> tuple[bool, bool, bool, str | None]:
+    """Is the element chrome with all below it, is it by its names, is it a page header, which home of an article is it."""
+    chrome, named, header, home = name in _CHROME_TAGS, False, name in _PAGE_HEADER, name if name in _HOMES else None
     if attributes and name not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id", "role"):
-                words = frozenset(_WORD.findall(value))
-                chrome |= bool(words & _CHROME_WORDS) and home is None or bool(words & {"comment", "comments"})
-                header |= bool(words & _PAGE_HEADER)
+                named |= _says(value, _CHROME_WORDS) and home is None or _says(value, frozenset({"comment", "comments"}))
+                header |= _says(value, _PAGE_HEADER)
                 home = "main" if key == "role" and value == "main" and home is None else home
             elif key == "itemprop":
                 home = "article" if value == "articlebody" and home is None else home
@@ -65,7 +72,7 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool, str | None]:
                 chrome |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             elif key == "hidden" or value == "true":
                 chrome = True
-    return chrome, header, home
+    return chrome, named, header, home
 
 
 def tokens(page: str) -> tuple[list[tuple[str, int, str, bool]], list[tuple[str, int, int]]]:
@@ -73,11 +80,11 @@ def tokens(page: str) -> tuple[list[tuple[str, int, str, bool]], list[tuple[str,
     main outside chrome. Kinds are a tag's name, or word, link, chrome for text."""
     out: list[tuple[str, int, str, bool]] = []
     homes: list[tuple[str, int, int]] = []
-    open_: list[tuple[str, bool, str | None, int]] = []  # name, chrome, home, place
+    open_: list[tuple[str, bool, str | None, int, bool]] = []  # name, chrome, home, place, chrome with the homes below
     fresh = True
 
     def shut(i: int) -> None:
-        for _, chrome, home, place in reversed(open_[i:]):
+        for _, chrome, home, place, _ in reversed(open_[i:]):
             if home and not chrome:
                 homes.append((home, place, len(out)))
         del open_[i:]
@@ -118,11 +125,12 @@ def tokens(page: str) -> tuple[list[tuple[str, int, str, bool]], list[tuple[str,
                     break
         if name in _VOID or m["attributes"].endswith("/"):
             continue
-        chrome, header, home = _marks(name, m["attributes"])
-        above = open_[-1] if open_ else ("", False, None, 0)
+        chrome, named, header, home = _marks(name, m["attributes"])
+        above = open_[-1] if open_ else ("", False, None, 0, False)
         in_home = any(x[2] for x in open_)
         links += name == "a"
-        open_.append((name, above[1] or chrome or header and not in_home, home, len(out)))
+        below = above[4] or chrome or bool(home) and named
+        open_.append((name, below or named or above[1] and not home or header and not in_home, home, len(out), below))
     shut(0)
     return out, homes
 
@@ -139,23 +147,44 @@ LABELLED = (
 )
 
 
+_TEXT = ("word", "link", "chrome")
+
+
+def places(seen, homes) -> list[str]:
+    """Where each token stands: in or out of the page's articles (its mains, if no article has words), "" if it has none."""
+    for home in ("article", "main"):
+        mine = [(a, b) for h, a, b in homes if h == home and any(seen[i][0] in ("word", "link") and seen[i][1] for i in range(a, b))]
+        if mine:
+            where = ["out"] * len(seen)
+            for a, b in mine:
+                where[a:b] = ["in"] * (b - a)
+            return where
+    return [""] * len(seen)
+
+
+def _odds(inside: Counter, outside: Counter) -> dict[str, float]:
+    n_in, n_out = sum(inside.values()), sum(outside.values())
+    return {k: math.log((inside[k] + 0.5) / (n_in + 1)) - math.log((outside[k] + 0.5) / (n_out + 1)) for k in {*inside, *outside}}
+
+
 @cache
-def weights() -> dict[str, float]:
-    """Log-odds of each kind of token inside and outside the articles of the labelled pages, a word's
-    at least a tenth above 0 and a tag's at least a tenth below."""
-    inside, outside = Counter(), Counter()
+def weights() -> tuple[dict[str, float], dict[str, float]]:
+    """Log-odds of each kind of token, and of its place, inside and outside the articles of the labelled
+    pages; a word's kind is at least a tenth above 0 and a tag's at least a tenth below."""
+    kinds, stands = (Counter(), Counter()), (Counter(), Counter())
     for page in LABELLED:
-        within = False
-        for part in re.split("([\x02\x03])", page):
-            if part in ("\x02", "\x03"):
-                within = part == "\x02"
+        within = 0
+        seen, homes = tokens(re.sub("([\x02\x03])", r"<!---->\1<!---->", page))
+        for (kind, n, text, _), where in zip(seen, places(seen, homes)):
+            if text in ("\x02", "\x03"):
+                within = int(text == "\x02")
                 continue
-            for kind, n, _, _ in tokens(part)[0]:
-                (inside if within else outside)[kind] += n or kind not in ("word", "link", "chrome")
-    n_in, n_out = sum(inside.values()), sum(outside.values())
-    odds = {k: math.log((inside[k] + 0.5) / (n_in + 1)) - math.log((outside[k] + 0.5) / (n_out + 1)) for k in {*inside, *outside}}
+            kinds[1 - within][kind] += n or kind not in _TEXT
+            if where and kind in _TEXT:
+                stands[1 - within][where] += n
+    odds = _odds(*kinds)
     words = {"word": max(odds["word"], 0.1), "link": max(odds["link"], 0.1), "chrome": -1.0}
-    return {k: min(v, -0.1) for k, v in odds.items()} | words
+    return {k: min(v, -0.1) for k, v in odds.items()} | words, {"": 0.0} | _odds(*stands)
 
 
 #: A tag that no labelled page has.
@@ -179,15 +208,16 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     seen, homes = tokens(page)
-    w = weights()
-    first, last = best_run([w.get(kind, UNSEEN) * max(n, kind not in ("word", "link", "chrome")) for kind, n, _, _ in seen])
-    for home in ("article", "main"):
-        mine = [(a, b) for h, a, b in homes if h == home and a < last and b > first and any(seen[i][0] in ("word", "link") and seen[i][1] for i in range(a, b))]
-        if mine:
-            spans = mine
-            break
-    else:
-        spans = [(first, last)]
+    w, stands = weights()
+    size = [max(n, kind not in _TEXT) for kind, n, _, _ in seen]
+    plain = [w.get(kind, UNSEEN) * n for (kind, _, _, _), n in zip(seen, size)]
+    spans = [best_run(plain)]
+    where = places(seen, homes)
+    if seen and where[0]:
+        placed = [x if kind == "chrome" else (x + stands[at] * n if kind in _TEXT else min(x + stands[at], -0.1)) for (kind, _, _, _), x, n, at in zip(seen, plain, size, where)]
+        a, b = best_run(placed)
+        if 2 * sum(max(x, 0.0) for x in plain[a:b]) >= sum(max(x, 0.0) for x in plain[slice(*spans[0])]):
+            spans = [(a, b)]
     blocks: list[list[str]] = []
     fresh, done = True, 0
     for a, b in sorted(spans):
