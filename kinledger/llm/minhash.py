@@ -305,8 +305,12 @@ def _by_pivots(left: DataFrame, search: Search) -> None:
 
 
 def classes(documents: DataFrame, *, threshold: float = SIMILARITY, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, node, class_id (least doc_id of its group), n_links (of its
-    text with different texts), is_first (of the least doc_id's rows, of the least text)."""
+    """One row per document: doc_id, node, class_id (least doc_id of its group), n_joins (links
+    of its text that were found while the groups were joined), is_first (of the least doc_id's rows,
+    of the least text).
+
+    n_joins is no count of similar texts: pairs within a group that other links join already aren't
+    compared, and which those are depends on the order of the texts' hashes. A text is alone if it is 0."""
     spark = documents.sparkSession
     sketched = written(sketch(documents, n=n, bands=bands, rows=rows), "near-sketch")
     nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("node_id"), F.first("bands").alias("bands")), "near-nodes")
@@ -319,23 +323,23 @@ def classes(documents: DataFrame, *, threshold: float = SIMILARITY, n: int = WOR
     texts = keyed.join(candidates, (keyed.key == candidates.node) & (keyed.doc_id == candidates.node_id)).select("node", "text")
     texts = written(texts, "near-texts")
     found, roots = links(buckets, texts, threshold=threshold, n=n)
-    counts = found.select(F.col("a").alias("node"), F.col("b").alias("other")).union(found.select("b", "a")).groupBy("node").agg(F.countDistinct("other").alias("n_links"))
+    counts = found.select(F.col("a").alias("node"), F.col("b").alias("other")).union(found.select("b", "a")).groupBy("node").agg(F.countDistinct("other").alias("n_joins"))
     rooted = nodes.select("node", "node_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min(F.struct("node_id", "node")).alias("least"))
-    named = rooted.join(least, "root").join(counts, "node", "left").select("node", F.col("least.node_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("node") == F.col("least.node")).alias("first_text"))
+    named = rooted.join(least, "root").join(counts, "node", "left").select("node", F.col("least.node_id").alias("class_id"), F.coalesce("n_joins", F.lit(0)).alias("n_joins"), (F.col("node") == F.col("least.node")).alias("first_text"))
     named = written(named, "near-classes")
     discard(spark, texts, buckets)
     ids = documents.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"))
     return ids.join(named, "node", "left").select(
         "doc_id", "node",
         F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_joins", F.lit(0)).cast("long").alias("n_joins"),
         (F.col("class_id").isNull() | (F.col("first_text") & (F.col("doc_id") == F.col("class_id")))).alias("is_first"),
     )
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", F.col("is_first").alias("kept"))
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_joins", F.col("is_first").alias("kept"))
 
 
 def stage_near_duplicates(spark, documents: DataFrame, sf_dir: str) -> DataFrame:
