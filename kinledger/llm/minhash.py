@@ -7,6 +7,10 @@ that equals their probability Jaccard similarity. Arrivals stop early, at a time
 every place has one: the few texts with an open place go on to a later time. For a long
 text nearly all elements are done after one arrival.
 
+A link is told by shingle sets, which weights can hold far apart: a text and its copy with a
+block repeated 50 times have nearly the same set. So a text that repeats a shingle has a
+second signature, of equal weights; that of any other text is of equal weights already.
+
 Signatures are cut into bands; texts that share a band's hash are candidates. Candidates
 are compared by their whole shingle sets: a link is a Jaccard similarity of 0.8 or more.
 Equal texts are one node from the start. Links are joined to components, and candidates of
@@ -34,7 +38,8 @@ from .components import connected_components
 
 WORDS = 5
 SIMILARITY = 0.8
-#: At a similarity of 0.8, 24 bands of 5 miss a pair with probability 7e-5.
+#: At a Jaccard similarity of the sets of 0.8, 24 bands of 5 of the signatures of equal weights
+#: miss a pair with probability 7e-5.
 BANDS, ROWS = 24, 5
 #: Members of a bucket whose pairs are few enough to meet all, levels of finer buckets, and
 #: steps in which a large bucket's members agree on a centre; pivots to begin with.
@@ -78,8 +83,18 @@ def signatures(rows, elements, weights, n_rows: int, places: int) -> np.ndarray:
     return out.reshape(n_rows, places)
 
 
+def _banded(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The hash of each band of each signature."""
+    signature = signature.reshape(len(signature), bands, rows)
+    band = np.zeros(signature.shape[:2], np.uint64)
+    for i in range(rows):
+        band = band * _STEP + mix(signature[:, :, i])
+    return mix(band + np.arange(bands, dtype=np.uint64) * _PLACE)
+
+
 def sketch(documents: DataFrame, *, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (MD5 of the text) and the bands' hashes; rows without words or doc_id are left out."""
+    """doc_id, node (MD5 of the text) and the distinct hashes of the bands, of both signatures; rows
+    without words or doc_id are left out."""
     keyed = documents.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
 
     def sketched(batches):
@@ -87,13 +102,14 @@ def sketch(documents: DataFrame, *, n: int = WORDS, bands: int = BANDS, rows: in
             for first, data, offsets in blocks(batch["text"]):
                 n_rows = len(offsets) - 1
                 row, shingle, count = weighted_shingles(data, offsets, n)
-                signature = signatures(row, shingle, 1 + np.log(count), n_rows, bands * rows).reshape(n_rows, bands, rows)
-                band = np.zeros((n_rows, bands), np.uint64)
-                for i in range(rows):
-                    band = band * _STEP + mix(signature[:, :, i])
-                band = mix(band + np.arange(bands, dtype=np.uint64) * _PLACE).view(np.int64)
                 worded = np.flatnonzero(np.bincount(row, minlength=n_rows))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(worded) + 1, dtype=np.int32) * bands), pa.array(band[worded].ravel()))
+                band = _banded(signatures(row, shingle, 1 + np.log(count), n_rows, bands * rows), bands, rows)[worded]
+                repeating = np.unique(row[count > 1])
+                some = np.isin(row, repeating)
+                even = _banded(signatures(np.searchsorted(repeating, row[some]), shingle[some], np.ones(some.sum()), len(repeating), bands * rows), bands, rows)
+                of, band, _ = counted(np.repeat(np.concatenate([worded, repeating]), bands), np.concatenate([band, even]).ravel())
+                ends = np.searchsorted(of, worded, "right").astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), pa.array(band.view(np.int64)))
                 taken = pa.array(first + worded)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(taken), batch["node"].take(taken), lists], ["doc_id", "node", "bands"])
 
@@ -233,7 +249,7 @@ def _centres(large: DataFrame) -> DataFrame:
     company = large.groupBy("node").agg(F.sum("size").alias("company"))
     best = company.select("node", F.struct("company", "node").alias("best"))
     for _ in range(STEPS):
-        # a node is in as many large buckets as it has bands, or added shingles, at most
+        # a node is in as many large buckets as it has bands, of both signatures, or added shingles, at most
         of_bucket = written(large.join(best, "node").groupBy("bucket").agg(F.max("best").alias("best")), "near-best")
         best = large.join(of_bucket, "bucket").groupBy("node").agg(F.max("best").alias("best"))
     return written(best.select(F.col("best.node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("central")).where("a <> b"), "near-centres")

@@ -21,3 +21,22 @@ def test_links_are_named_for_joining(spark, tmp_path):
     # a group of three is joined by two links or three; a text that stands alone has none
     assert all(got[i].class_id == 0 and got[i].n_joins >= 1 for i in range(3)) and got[3].n_joins == 0
     assert sum(got[i].n_joins for i in range(3)) in (4, 6)
+
+
+@pytest.mark.parametrize("times", [10, 50])
+def test_copies_with_a_repeated_block_are_found(spark, times):
+    rng, texts = random.Random(times), {}
+    for k in range(300):
+        base = _words(rng, 150)
+        block = base[: 70 if times == 10 else 50]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join([*block * times, *base[len(block) :]])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
+    assert [i for i in texts if got[i] != i - i % 2] == []
+
+
+def test_bands_of_texts_that_repeat_nothing_are_those_of_one_signature(spark):
+    rng = random.Random(8)
+    docs = [(0, " ".join(_words(rng, 80))), (1, "a b c d e f " * 9), (2, " "), (3, "one two")]
+    got = {r.doc_id: len(r.bands) for r in minhash.sketch(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == {0, 1, 3} and got[0] == got[3] == minhash.BANDS < got[1] <= 2 * minhash.BANDS
