@@ -8,7 +8,10 @@ an empty gzip member, so a file is a plain multi-member gzip. Files are kept to
 The reader takes compressed and plain archives. It checks each member (deflate data,
 CRC, size) and each record (version line, headers, Content-Length, closing blank lines,
 payload digest). After a failed check it looks for the next member or version line that
-passes, goes on from there, and logs the bytes between as a quarantined gap.
+passes, goes on from there, and logs the bytes between as a quarantined gap. The content of a
+member is searched in the same way, so a bad record costs itself alone. What inflates of a
+damaged member is kept, but its bytes are unchecked: there only a record whose payload digest
+agrees passes.
 
 Null payloads are empty, a null page_id is written as an empty one and read as null, and so
 is a null url. Of pages with equal payloads, that with the least page_id is the response
@@ -98,18 +101,24 @@ class Damage(Exception):
     """A failed check."""
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at``, and where it ends."""
-    unpack, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof:
-            if pos >= len(data):
-                raise Damage("truncated member")
-            out.append(unpack.decompress(data[pos : pos + 65536]))
-            pos += 65536
-    except zlib.error as e:
-        raise Damage(f"bad member: {e}") from None
-    return b"".join(out), min(pos, len(data)) - len(unpack.unused_data)
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at ``at``, where it ends, and what is wrong with it; of a damaged
+    member what inflates, and where that ends."""
+    unpack, out, pos, step = zlib.decompressobj(31), [], at, 65536
+    while not unpack.eof:
+        if pos >= len(data):
+            return b"".join(out) + unpack.flush(), len(data), "truncated member"
+        try:
+            out.append(unpack.decompress(data[pos : pos + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), pos, f"bad member: {e}"
+            # again to this piece, and through it byte by byte
+            unpack, step = zlib.decompressobj(31), 1
+            out = [unpack.decompress(data[at:pos])]
+            continue
+        pos += step
+    return b"".join(out), min(pos, len(data)) - len(unpack.unused_data), None
 
 
 def _record(data: bytes, at: int) -> tuple[dict, int]:
@@ -137,39 +146,79 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
         told = re.search(rb"(?im)^content-length:\s*(\d+)", http[0])
         size = int(told[1]) if told and fields["warc-type"] == "revisit" else len(payload)
     digest = fields.get("warc-payload-digest", "")
-    if digest.startswith("sha1:") and fields["warc-type"] != "revisit" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest[5:]:
+    told = digest.startswith("sha1:") and fields["warc-type"] != "revisit"
+    if told and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest[5:]:
         raise Damage("digest differs")
-    return {"fields": fields, "payload": payload, "payload_bytes": size}, end + 4
+    return {"fields": fields, "payload": payload, "payload_bytes": size, "told": told}, end + 4
+
+
+def _within(content: bytes, sound: bool) -> Iterator[tuple[int, int, dict | None, str | None]]:
+    """As ``salvage``, for the content of a member, with bytes of the content."""
+    at, gap, reason = 0, None, ""
+    while at < len(content):
+        try:
+            one, end = _record(content, at)
+            if not sound and not one["told"]:
+                raise Damage("no digest in a damaged member")
+        except Damage as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            at = content.find(b"WARC/1.", at + 1)
+            at = len(content) if at < 0 else at
+            continue
+        if gap is not None:
+            yield gap, at, None, reason
+            gap = None
+        yield at, end, one, None
+        at = end
+    if gap is not None:
+        yield gap, len(content), None, reason
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(start, end, record, None) for each record and (start, end, None, reason) for each gap, in order.
 
-    Starts and ends are bytes of ``data``; records of one gzip member share them.
+    Starts and ends are bytes of ``data``; records of one gzip member, and gaps between them, share
+    them. The reason of such a gap names its bytes of the content. A damaged member of which
+    records were kept is a gap besides.
     """
     view, at, gap, reason = memoryview(data), 0, None, ""
     while at < len(data):
-        try:
-            if data[at : at + 2] == b"\x1f\x8b":
-                content, end = _member(view, at)
-                found, inner = [], 0
-                while inner < len(content):
-                    one, inner = _record(content, inner)
-                    found.append(one)
-            else:
+        found, wrong, end, plain = [], None, at, at + 1
+        if data[at : at + 2] == b"\x1f\x8b":
+            content, end, wrong = _member(view, at)
+            found = list(_within(content, wrong is None))
+            kept = any(one for _, _, one, _ in found)
+            if wrong is None and found and not kept:
+                if gap is None:
+                    gap, reason = at, found[0][3]
+                at = end
+                continue
+            if wrong and kept:
+                plain = max(end, at + 1)  # what inflated isn't looked for again as plain bytes
+        else:
+            try:
                 one, end = _record(data, at)
-                found = [one]
-        except Damage as e:
+                found = [(0, 0, one, None)]
+            except Damage as e:
+                wrong, kept = str(e), False
+        if wrong:
+            marks = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", plain)) if x >= 0]
+            after = min(marks, default=len(data))
+            if kept:
+                if gap is not None:
+                    yield gap, at, None, reason
+                yield from ((at, after, one, None) for _, _, one, _ in found if one)
+                gap = None
             if gap is None:
-                gap, reason = at, str(e)
-            marks = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(marks, default=len(data))
+                gap, reason = at, wrong
+            at = after
             continue
         if gap is not None:
             yield gap, at, None, reason
             gap = None
-        for one in found:
-            yield at, end, one, None
+        for start, stop, one, why in found:
+            yield at, end, one, why and f"{why}, bytes {start} to {stop} of the content"
         at = end
     if gap is not None:
         yield gap, len(data), None, reason
