@@ -7,9 +7,8 @@ to aliases that no rule fits. An explicit allow comes first: it stands for its o
 whatever its aliases are, and a component that holds one isn't blocked for the rest.
 
 Links come from the pages themselves (``<link rel=canonical>``, a meta refresh) and from a
-table of redirects, if given. An address is resolved against its page if it begins with
-``/`` or ``//``; other relative ones are left out. A url's node is the url without its
-fragment, with scheme and host in lower case.
+table of redirects, if given. A relative address is resolved against its page's url. A url's
+node is the url without its fragment, with scheme and host in lower case.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule, are nobody's alias
 and are allowed. Rows that repeat a page are judged alike.
@@ -70,18 +69,38 @@ def deciding_rule(url: Column, rules: Sequence[tuple[str, str, str]] = RULES) ->
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length: int, allow: boolean, rule: string>")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, ``.`` and ``..`` resolved; ``..`` stops at the root."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    walked = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+    )
+    folder = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(F.when(folder, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"))
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """What ``to`` names on the page ``url``; null for other schemes (``mailto:``)."""
+    origin = F.concat(F.substring_index(url, "://", 1), F.lit("://"), host_of(url))
+    path, rest = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"^/(.*/)?", 1))
+    return (
+        F.when(F.startswith(to, F.lit("?")) | F.startswith(to, F.lit("#")), F.concat(origin, path_of(url), to))
+        .when(F.instr(to, "://") > 0, to)
+        .when(F.startswith(to, F.lit("//")), F.concat(F.substring_index(url, "://", 1), F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(origin, _without_dots(path), rest))
+        .when(~to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(origin, _without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(a, b): the nodes of pages and of what they name as canonical or refresh to."""
     named = F.explode(F.array(F.regexp_extract("html", _LINK, 1), F.regexp_extract("html", _REFRESH, 1)))
     found = pages.where("url is not null and html is not null").select("url", named.alias("to")).where("`to` <> ''")
     to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    scheme = F.substring_index("url", "://", 1)
-    absolute = (
-        F.when(F.instr(to, "://") > 0, to)
-        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
-        .when(F.startswith(to, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(F.col("url")), to))
-    )
-    return found.select(node_of(F.col("url")).alias("a"), node_of(absolute).alias("b"))
+    return found.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), to)).alias("b"))
 
 
 def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
