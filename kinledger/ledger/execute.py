@@ -16,6 +16,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.metrics import Metrics
 from .fragments import fifo_select, fragment_sizes, shortfalls
 from .model import ALIVE, ASSETS, BURNED, IDEMPOTENCY, MOST_FRAGMENTS, RESERVED, TRANSACTIONS, VALUE_OBJECTS, Asset, AssetNotFound, DuplicateIdempotencyKey, InsufficientFunds, idempotency_hash
 from .plan import Operation, Plan
@@ -62,12 +63,18 @@ class Ledger:
 
         return Plan(told("available"), told("reserved"))
 
-    def atomic(self, make: Callable[[Plan], None], now: datetime | None = None) -> Ledger:
-        """Make a plan, check it, and run it; an error leaves this ledger as it is."""
+    def atomic(self, make: Callable[[Plan], None], now: datetime | None = None, metrics: Metrics | None = None) -> Ledger:
+        """Make a plan, check it, and run it; an error leaves this ledger as it is. Metrics, if given,
+        get each operation's amount (histogram) and one more success (counter)."""
         plan = self.plan()
         make(plan)
         plan.validate()
-        return run(self, plan, now)
+        after = run(self, plan, now)
+        if metrics is not None:
+            for op in plan.operations:
+                metrics.record("ledger.amount", op.amount)
+            metrics.count("ledger.success")
+        return after
 
 
 def _settled(plan: Plan) -> dict[tuple[str, str], int]:

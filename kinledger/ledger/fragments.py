@@ -26,14 +26,21 @@ def fragments(df: DataFrame, most: Column | int = MOST_FRAGMENTS) -> DataFrame:
 def fifo_select(objects: DataFrame, locks: DataFrame, state: str = ALIVE) -> DataFrame:
     """The fragments that cover each lock (asset, owner, required), oldest first, ties by id.
 
-    A running sum for each asset and owner: a fragment is taken if what is before it
-    doesn't reach the requirement. ``before`` is that sum. An owner's fragments are few by
-    the cap on fragments, so a window group is bounded.
+    A fragment is taken if what is before it (``before``) doesn't reach the requirement. An
+    owner may hold any number of fragments, so they are summed by hour first: the running sum over
+    an owner's hours says in which the requirement runs out, later hours are dropped unsorted,
+    and rows are ordered within one owner's hour only.
     """
     wanted = locks.select("asset", "owner", "required")
-    held = objects.where(F.col("state") == state).join(wanted, ["asset", "owner"])
-    running = Window.partitionBy("asset", "owner").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return held.withColumn("before", F.sum("amount").over(running) - F.col("amount")).where("before < required")
+    held = objects.where(F.col("state") == state).join(wanted, ["asset", "owner"]).withColumn("__hour", F.date_trunc("hour", "created_at"))
+    hours = held.groupBy("asset", "owner", "__hour").agg(F.sum("amount").alias("__sum"), F.first("required").alias("__required"))
+    over = Window.partitionBy("asset", "owner").orderBy("__hour").rowsBetween(Window.unboundedPreceding, 0)
+    hours = hours.withColumn("__before", F.sum("__sum").over(over) - F.col("__sum")).where("__before < __required")
+    hours = hours.select(*(F.col(c).alias(f"__of_{c}") for c in ("asset", "owner", "__hour")), "__before")
+    same = (F.col("asset") == F.col("__of_asset")) & (F.col("owner") == F.col("__of_owner")) & F.col("__hour").eqNullSafe(F.col("__of___hour"))
+    running = Window.partitionBy("asset", "owner", "__hour").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    found = held.join(hours, same).withColumn("before", F.col("__before") + F.sum("amount").over(running) - F.col("amount"))
+    return found.where("before < required").drop("__hour", "__before", "__of_asset", "__of_owner", "__of___hour")
 
 
 def shortfalls(objects: DataFrame, locks: DataFrame, state: str = ALIVE) -> DataFrame:

@@ -46,8 +46,13 @@ def portfolio_value(held: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def sorted_holdings(held: DataFrame, by: str = "quantity", *, largest: bool = True) -> DataFrame:
-    """Holdings in order of quantity or value, ties by code."""
-    return held.orderBy(F.col(by).desc() if largest else F.col(by).asc(), "code")
+    """Holdings in order of quantity or value, ties by code and owner."""
+    return held.orderBy(F.col(by).desc() if largest else F.col(by).asc(), "code", "owner")
+
+
+def holding(held: DataFrame, code: str) -> DataFrame:
+    """The holding of one asset, by its code."""
+    return held.where(F.col("code") == F.lit(code))
 
 
 def journal(transactions: DataFrame, assets: DataFrame, keys: DataFrame | None = None) -> DataFrame:

@@ -10,29 +10,26 @@ from pyspark.sql import functions as F
 from ..compat import DEFAULT, Compat
 from ..functions.predicates import Filter, combined
 from ..model import SYSTEM_OWNER, EdgeType, ObjectType
-from ..plans.query import EdgeQuery, Query
+from ..plans.metrics import Metrics
+from ..plans.query import EdgeQuery, Query, listed
 from ..sources.catalog import Catalog
 from .traverse import ManyPivots, Pivot
 from .unions import union_of
 
-#: More keys than this are joined as a table instead of listed in the predicate.
-MOST_LISTED = 10_000
-
-
 class Engine:
     """What can be asked of a catalog. Results are lazy; counts are one-row DataFrames (``n``)."""
 
-    def __init__(self, catalog: Catalog, compat: Compat = DEFAULT) -> None:
-        self.catalog, self.compat = catalog, compat
+    def __init__(self, catalog: Catalog, compat: Compat = DEFAULT, metrics: Metrics | None = None) -> None:
+        self.catalog, self.compat, self.metrics = catalog, compat, metrics
+
+    def _told(self, name: str, df: DataFrame) -> DataFrame:
+        return df if self.metrics is None else self.metrics.observed(name, df)
 
     # objects
 
     def among(self, df: DataFrame, column: str, keys: Sequence) -> DataFrame:
         """Rows whose ``column`` is one of ``keys``: a pushed-down list if short, else a semi join."""
-        if len(keys) <= MOST_LISTED:
-            return df.where(F.col(column).isin(list(keys)))
-        wanted = self.catalog.spark.createDataFrame([(k,) for k in keys], [column]).select(F.col(column).cast(df.schema[column].dataType))
-        return df.join(wanted, column, "left_semi")
+        return listed(df, column, keys)[1]
 
     def fetch_object(self, kind: ObjectType, id_: object) -> DataFrame:
         return self.catalog[kind].where(F.col("id") == F.lit(id_))
@@ -55,7 +52,7 @@ class Engine:
         return Query(owner=owner, filters=tuple(filters), limit=1).apply(self.catalog[kind], kind, self.compat)
 
     def query_objects(self, kind: ObjectType, query: Query) -> DataFrame:
-        return query.apply(self.catalog[kind], kind, self.compat)
+        return self._told("query", query.apply(self.catalog[kind], kind, self.compat))
 
     def count_objects(self, kind: ObjectType, query: Query | None = None) -> DataFrame:
         return (query or Query.wide()).count(self.catalog[kind], kind, self.compat)
@@ -66,10 +63,10 @@ class Engine:
         return self.catalog[kind].where((F.col("src") == F.lit(src)) & (F.col("dst") == F.lit(dst)))
 
     def query_edges(self, kind: EdgeType, src: object, query: EdgeQuery = EdgeQuery()) -> DataFrame:
-        return query.apply(self.catalog[kind], kind, "src", "dst", src, self.compat)
+        return self._told("query_edges", query.apply(self.catalog[kind], kind, "src", "dst", src, self.compat))
 
     def query_reverse_edges(self, kind: EdgeType, dst: object, query: EdgeQuery = EdgeQuery()) -> DataFrame:
-        return query.apply(self.catalog[kind], kind, "dst", "src", dst, self.compat)
+        return self._told("query_edges", query.apply(self.catalog[kind], kind, "dst", "src", dst, self.compat))
 
     def _count(self, kind: EdgeType, near: str, at: object, query: EdgeQuery) -> DataFrame:
         condition = combined([F.col(near) == F.lit(at)], query.filters, kind.indexed, self.compat)

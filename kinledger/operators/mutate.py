@@ -12,7 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ObjectType
-from .constraints import conflicts
+from ..plans.query import listed
+from .constraints import conflicts, last_writes
+
+
+def _parted(df: DataFrame, mine: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows for which ``mine`` is false or null, and those for which it is true."""
+    mine = F.coalesce(mine, F.lit(False))
+    return df.where(~mine), df.where(mine)
 
 
 class UniqueViolation(ValueError):
@@ -31,8 +38,10 @@ def create_objects(existing: DataFrame, new: DataFrame, kind: ObjectType) -> Dat
 
 
 def update_objects(existing: DataFrame, updates: DataFrame, kind: ObjectType, now: Column | None = None) -> DataFrame:
-    """Replace the fields of objects with an update's (id and some fields; one a id), and set
-    updated_at. Ids without an object are ignored; owner and created_at stay."""
+    """Replace the fields of objects with an update's (id and some fields), and set updated_at.
+    Ids without an object are ignored; owner and created_at stay. Of several updates of one id the
+    one of the greatest values counts: an object stays one row."""
+    updates = last_writes(updates, keys=("id",))
     now = F.lit(now) if now is not None else F.current_timestamp().cast("timestamp_ntz")
     fields = [c for c in updates.columns if c in kind.fields]
     wanted = updates.select(F.col("id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in fields))
@@ -61,17 +70,15 @@ def update_objects_checked(existing: DataFrame, updates: DataFrame, kind: Object
 def delete_object(existing: DataFrame, id_: object, owner: object) -> tuple[DataFrame, DataFrame]:
     """Without the object, if the owner has it, and the row that went (none otherwise)."""
     mine = (F.col("id") == F.lit(id_)) & (F.col("owner") == F.lit(owner))
-    return existing.where(~F.coalesce(mine, F.lit(False))), existing.where(mine)
+    return _parted(existing, mine)
 
 
 def delete_objects(existing: DataFrame, ids: Sequence, owner: object) -> tuple[DataFrame, DataFrame]:
-    mine = F.col("id").isin(list(ids)) & (F.col("owner") == F.lit(owner))
-    return existing.where(~F.coalesce(mine, F.lit(False))), existing.where(mine)
+    return listed(existing, "id", ids, F.col("owner") == F.lit(owner))
 
 
 def delete_owned_objects(existing: DataFrame, owner: object) -> tuple[DataFrame, DataFrame]:
-    mine = F.col("owner") == F.lit(owner)
-    return existing.where(~F.coalesce(mine, F.lit(False))), existing.where(mine)
+    return _parted(existing, F.col("owner") == F.lit(owner))
 
 
 def transfer_object(existing: DataFrame, id_: object, owner: object, to: object, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -84,18 +91,22 @@ def transfer_object(existing: DataFrame, id_: object, owner: object, to: object,
 
 
 def update_edge(existing: DataFrame, src: object, dst: object, values: dict[str, object], to: object = None) -> DataFrame:
-    """Set properties of an edge and, with ``to``, its far end; an edge already there is replaced."""
+    """Set properties of the edge (src, dst) and, with ``to``, its far end; an edge that stands at
+    (src, to) already is replaced. Without an edge (src, dst) nothing changes."""
     mine = (F.col("src") == F.lit(src)) & (F.col("dst") == F.lit(dst))
-    set_ = dict(values) if to is None or to == dst else {**values, "dst": to}
-    if "dst" in set_:
-        existing = existing.where(~((F.col("src") == F.lit(src)) & (F.col("dst") == F.lit(to))))
+    set_ = dict(values)
+    if to is not None and to != dst:
+        set_["dst"] = to
+        # one row at most, so the broadcast is bounded; none if there is no edge to move
+        moved = existing.where(mine).limit(1).select(F.col("src").alias("__src"), F.lit(to).cast(existing.schema["dst"].dataType).alias("__dst"))
+        existing = existing.join(F.broadcast(moved), (F.col("src") == F.col("__src")) & (F.col("dst") == F.col("__dst")), "left_anti")
     return existing.select(*((F.when(mine, F.lit(set_[c])).otherwise(F.col(c)).cast(existing.schema[c].dataType) if c in set_ else F.col(c)).alias(c) for c in existing.columns))
 
 
 def delete_edge(existing: DataFrame, src: object, dst: object) -> DataFrame:
-    return existing.where(~((F.col("src") == F.lit(src)) & (F.col("dst") == F.lit(dst))))
+    return _parted(existing, (F.col("src") == F.lit(src)) & (F.col("dst") == F.lit(dst)))[0]
 
 
 def delete_object_edges(existing: DataFrame, src: object) -> DataFrame:
     """Without any edge that leaves ``src``."""
-    return existing.where(F.col("src") != F.lit(src))
+    return _parted(existing, F.col("src") == F.lit(src))[0]

@@ -195,14 +195,16 @@ class BatchTraversal(_Sides):
         return self.pivots.parents().select(F.col("id").alias("parent_id"))
 
     def _edges(self, ends: tuple[str, str]) -> DataFrame:
+        """The pivots' edges: those of others go before they meet objects or are counted. Where all
+        objects are pivots there is nothing to cut, and no join."""
         near, _ = ends
         condition = combined([], self.edges.filters, self.edge.indexed, self.engine.compat)
-        return _prefixed(_where(self.engine.catalog[self.edge], condition)).withColumn("parent_id", F.col(f"edge_{near}"))
+        edges = _prefixed(_where(self.engine.catalog[self.edge], condition)).withColumn("parent_id", F.col(f"edge_{near}"))
+        cut = not self.pivots.query.everything or self.limit is not None
+        return edges.join(self._ids(), "parent_id", "left_semi") if cut else edges
 
     def _under(self, found: DataFrame, order: list) -> DataFrame:
         ids = self._ids()
-        if self.limit is not None or self.per_parent is not None:
-            found = found.join(ids, "parent_id", "left_semi")
         if self.per_parent is not None:
             place = F.row_number().over(Window.partitionBy("parent_id").orderBy(*order))
             found = found.withColumn("__place", place).where(F.col("__place") <= self.per_parent).drop("__place")

@@ -6,11 +6,13 @@ can to the scan. The same filter methods serve objects, edges and both sides of
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from typing import Self
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..compat import DEFAULT, Compat
 from ..functions.predicates import COMPARISONS, Filter, Sort, combined, ordering
@@ -18,6 +20,22 @@ from ..model import NIL_OWNER, SYSTEM_OWNER, EdgeType, ObjectType
 
 #: The scope of all owners.
 ALL = object()
+#: More keys than this are joined as a table instead of listed in the predicate.
+MOST_LISTED = 10_000
+
+
+def listed(df: DataFrame, column: str, keys: Sequence, also: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows that aren't, and those that are: ``column`` one of ``keys`` and ``also`` true. A short
+    list becomes a predicate that reaches the scan, a long one a join."""
+    if len(keys) <= MOST_LISTED:
+        mine = F.col(column).isin(list(keys))
+        mine = F.coalesce(mine if also is None else mine & also, F.lit(False))
+        return df.where(~mine), df.where(mine)
+    kind = df.schema[column].dataType
+    wanted = df.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], StructType([StructField("__key", kind)]))
+    on = F.col(column) == F.col("__key")
+    on = on if also is None else on & also
+    return df.join(wanted, on, "left_anti"), df.join(wanted, on, "left_semi")
 
 
 @dataclass(frozen=True)
@@ -82,6 +100,11 @@ class Query(Filterable):
         """Whatever the owner."""
         return cls(owner=ALL)
 
+    @property
+    def everything(self) -> bool:
+        """Does it find all objects."""
+        return self.owner is ALL and not self.filters and self.limit is None and self.cursor is None
+
     def scope(self, compat: Compat = DEFAULT) -> list:
         if self.owner is not ALL:
             return [F.col("owner") == F.lit(self.owner)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,14 @@ from pyspark.sql import functions as F
 from .functions.predicates import Filter, eq
 from .ledger import fragments as frag
 from .ledger import reads
+from .ledger.execute import Ledger
+from .ledger.model import DuplicateIdempotencyKey, may_become
 from .model import EdgeType, ObjectType
 from .operators import constraints, mutate
 from .operators.engine import Engine
 from .operators.sequences import numbered
+from .operators.traverse import grouped, nested
+from .plans.metrics import Metrics
 from .plans.query import EdgeQuery, Query
 from .sources.catalog import Catalog
 
@@ -28,24 +33,30 @@ FOLLOW = EdgeType("follow", {"weight": "long", "notification": "boolean"}, index
 CONTAINS = EdgeType("contains", {"line": "int", "supplier": "long", "quantity": "double", "price": "double", "shipped": "timestamp_ntz"}, key="long")
 
 
+_NOW = datetime.datetime(2024, 5, 1)
+
+
 def catalog(spark: SparkSession, d: str) -> Catalog:
-    """The types on the tables of a folder. Nothing is read before a query asks."""
+    """The types on the tables of a folder. A table's file is opened when a query asks for its type."""
     read = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
-    users = read("customer")
+
+    def of(name: str, columns: dict[str, str]):
+        return lambda: read(name).select(*(F.expr(c).alias(n) for n, c in columns.items()))
 
     def follows() -> DataFrame:
+        users = read("customer")
         n = F.lit(users.count())
         edges = users.select(F.col("c_custkey").alias("src"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))).alias("weight"))
         return edges.select("src", ((F.col("src") + F.col("weight")) % n).alias("dst"), "weight", (F.col("weight") % 2 == 0).alias("notification"))
 
     return (
         Catalog(spark)
-        .bind(USER, users, {"id": "c_custkey", "owner": "c_nationkey", "username": "c_name", "balance": "c_acctbal", "segment": "c_mktsegment"})
-        .bind(ORG, read("supplier"), {"id": "s_suppkey", "owner": "s_nationkey", "name": "s_name", "balance": "s_acctbal"})
-        .bind(POST, read("orders"), {"id": "o_orderkey", "owner": "o_custkey", "created_at": "o_orderdate", "title": "o_orderpriority", "status": "o_orderstatus", "view_count": "o_totalprice"})
-        .bind(PART, read("part"), {"id": "p_partkey", "owner": "p_size", "title": "p_name", "status": "p_type", "tags": F.split("p_name", " ")})
+        .defer(USER, of("customer", {"id": "c_custkey", "owner": "c_nationkey", "username": "c_name", "balance": "c_acctbal", "segment": "c_mktsegment"}))
+        .defer(ORG, of("supplier", {"id": "s_suppkey", "owner": "s_nationkey", "name": "s_name", "balance": "s_acctbal"}))
+        .defer(POST, of("orders", {"id": "o_orderkey", "owner": "o_custkey", "created_at": "o_orderdate", "title": "o_orderpriority", "status": "o_orderstatus", "view_count": "o_totalprice"}))
+        .defer(PART, of("part", {"id": "p_partkey", "owner": "p_size", "title": "p_name", "status": "p_type", "tags": "split(p_name, ' ')"}))
         .defer(FOLLOW, follows)
-        .bind(CONTAINS, read("lineitem"), {"src": "l_orderkey", "dst": "l_partkey", "line": "l_linenumber", "supplier": "l_suppkey", "quantity": "l_quantity", "price": "l_extendedprice", "shipped": "l_shipdate"})
+        .defer(CONTAINS, of("lineitem", {"src": "l_orderkey", "dst": "l_partkey", "line": "l_linenumber", "supplier": "l_suppkey", "quantity": "l_quantity", "price": "l_extendedprice", "shipped": "l_shipdate"}))
     )
 
 
@@ -164,8 +175,6 @@ def q_query_objects_lt(spark, d):
 
 @query("SELECT * FROM posts WHERE created_at <= TIMESTAMP '1995-06-30' AND view_count <= 50000")
 def q_query_objects_lte(spark, d):
-    import datetime
-
     return _posts(spark, d, Query.wide().where_lte("created_at", datetime.datetime(1995, 6, 30)).where_lte("view_count", 50000.0))
 
 
@@ -211,6 +220,52 @@ def q_and_or_mix(spark, d):
     return _posts(spark, d, Query.of(10).where_eq("status", "P").or_eq("status", "F").where_lt("view_count", 100000.0).or_begins_with("title", "1-"))
 
 
+@query("SELECT * FROM posts WHERE status = 'P' OR status <> 'O'")
+def q_or_ne(spark, d):
+    return _posts(spark, d, Query.wide().where_eq("status", "P").or_ne("status", "O"))
+
+
+@query("SELECT * FROM posts WHERE owner = 10 AND (status = 'P' OR view_count >= 100000)")
+def q_or_gte(spark, d):
+    return _posts(spark, d, Query.of(10).where_eq("status", "P").or_gte("view_count", 100000.0))
+
+
+@query("SELECT * FROM posts WHERE status = 'P' OR view_count < 5000")
+def q_or_lt(spark, d):
+    return _posts(spark, d, Query.wide().where_eq("status", "P").or_lt("view_count", 5000.0))
+
+
+@query("SELECT * FROM posts WHERE status = 'P' AND view_count > 100000 OR view_count <= 3000")
+def q_or_lte(spark, d):
+    return _posts(spark, d, Query.wide().where_eq("status", "P").where_gt("view_count", 100000.0).or_lte("view_count", 3000.0))
+
+
+@query("SELECT id, owner, title, status FROM parts WHERE title ILIKE 'RED%' OR list_has_any(tags, ['blue', 'green'])")
+def q_or_contains(spark, d):
+    return _part(engine(spark, d).query_objects(PART, Query.wide().where_begins_with("title", "red").or_contains("tags", ["blue", "green"])))
+
+
+@query("SELECT id, owner, title, status FROM parts WHERE owner = 5 OR list_has_all(tags, string_split((SELECT p_name FROM part ORDER BY p_partkey LIMIT 1), ' '))")
+def q_or_contains_all(spark, d):
+    first = spark.read.parquet(f"{d}/part.parquet").orderBy("p_partkey").first()["p_name"]
+    return _part(engine(spark, d).query_objects(PART, Query.wide().where_eq("owner", 5).or_contains_all("tags", first.split(" "))))
+
+
+@query("SELECT * FROM posts WHERE created_at = (SELECT min(created_at) FROM posts)")
+def q_eq_time(spark, d):
+    e = engine(spark, d)
+    first = e.catalog[POST].agg(F.min("created_at")).first()[0]
+    return _post(e.query_objects(POST, Query.wide().where_eq("created_at", first)))
+
+
+@query("SELECT id, owner, title, status FROM parts WHERE status = (SELECT min(p_type) FROM part)")
+def q_contains_empty(spark, d):
+    """An empty list doesn't filter."""
+    e = engine(spark, d)
+    first = e.catalog[PART].agg(F.min("status")).first()[0]
+    return _part(e.query_objects(PART, Query.wide().where_eq("status", first).where_contains("tags", [])))
+
+
 # order, limit, cursor
 
 
@@ -436,6 +491,37 @@ def q_owned_batch(spark, d):
     return _owned(_many(spark, d).preload(POST))
 
 
+@query(f"SELECT p.parent_id, x.src AS edge_src, x.dst AS edge_dst, x.weight AS edge_weight, x.notification AS edge_notification FROM {_PARENTS} LEFT JOIN (SELECT f.* FROM follows f JOIN users u ON u.id = f.src AND u.owner = 7 ORDER BY weight DESC, dst DESC, src LIMIT 5) x ON x.src = p.parent_id")
+def q_batch_limit(spark, d):
+    """The limit is over all pivots' rows together."""
+    return _many(spark, d).edge(FOLLOW, USER).edge_sort_desc("weight").with_limit(5).collect_edges()
+
+
+@query(f"SELECT p.parent_id, count(u.id) AS n, CAST(coalesce(sum(u.id), 0) AS BIGINT) AS ids FROM {_PARENTS} LEFT JOIN (follows f JOIN users u ON u.id = f.dst AND u.balance > 5000) ON f.src = p.parent_id GROUP BY p.parent_id")
+def q_nested_children(spark, d):
+    """One row a pivot with an array of objects, here told by size and sum of ids."""
+    lists = grouped(_many(spark, d).edge(FOLLOW, USER).where_gt("balance", 5000.0).collect())
+    total = F.aggregate("children", F.lit(0).cast("long"), lambda a, x: a + x["id"])
+    return lists.select("parent_id", F.size("children").cast("long").alias("n"), total.alias("ids"))
+
+
+@query("SELECT f.weight AS edge_weight, u.id AS object_id, u.username AS object_username FROM follows f JOIN users u ON u.id = f.dst WHERE f.src = 17")
+def q_nested_pairs(spark, d):
+    pairs = nested(_from(spark, d).collect_with_target(), FOLLOW, USER)
+    return pairs.select(F.col("edge.weight").alias("edge_weight"), F.col("object.id").alias("object_id"), F.col("object.username").alias("object_username"))
+
+
+_LOOPED = "(SELECT src, CASE WHEN weight = 10 THEN src ELSE dst END AS dst, weight, notification FROM follows)"
+
+
+@query(f"SELECT 'forward' AS direction, * FROM {_LOOPED} WHERE src = 5 UNION ALL SELECT 'reverse', * FROM {_LOOPED} WHERE dst = 5")
+def q_self_loops(spark, d):
+    """An edge from 5 to itself stands in both directions."""
+    e = engine(spark, d)
+    e.catalog.bind(FOLLOW, e.catalog[FOLLOW].withColumn("dst", F.when(F.col("weight") == 10, F.col("src")).otherwise(F.col("dst"))))
+    return e.preload_object(USER, 5).edge(FOLLOW, USER).collect_both_edges()
+
+
 # two types
 
 
@@ -538,6 +624,106 @@ def q_edge_changes(spark, d):
     return mutate.delete_object_edges(mutate.delete_edge(mutate.update_edge(follows, 3, 7, {"weight": 100}), 4, 5), 9)
 
 
+def _new_users(spark, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "id long, owner long, username string, balance double, segment string")
+
+
+@query("SELECT * FROM users UNION ALL SELECT -1, 7, 'new one', CAST(-123456.5 AS DOUBLE), 'BUILDING' UNION ALL SELECT -2, 8, 'new two', CAST(-123457.5 AS DOUBLE), 'BUILDING'")
+def q_create_object(spark, d):
+    new = _new_users(spark, [(-1, 7, "new one", -123456.5, "BUILDING"), (-2, 8, "new two", -123457.5, "BUILDING")])
+    return _user(mutate.create_objects(engine(spark, d).catalog[USER], USER.conform(new), USER))
+
+
+def _conflicting(spark, users: DataFrame) -> DataFrame:
+    taken = users.where("id = 4").first()["username"]
+    return USER.conform(_new_users(spark, [(-1, 7, taken, -1e5, "A"), (-3, 7, "x", -2e5, "B"), (-4, 7, "y", -2e5, "B"), (-5, 7, "z", -3e5, "B")]))
+
+
+@query("SELECT -1 AS id, 'username' AS field UNION ALL SELECT -3, 'segment+balance'")
+def q_create_conflicts(spark, d):
+    """One name is an old user's; two new ones want the same pair of values, and the lesser id has it."""
+    users = engine(spark, d).catalog[USER]
+    return constraints.conflicts(users, _conflicting(spark, users), USER)
+
+
+@query("SELECT -1 AS id, 'username' AS field UNION ALL SELECT -3, 'segment+balance'")
+def q_insert_unique_conflicts(spark, d):
+    users = engine(spark, d).catalog[USER]
+    return constraints.insert_unique_hashes(constraints.unique_hashes(users, USER), _conflicting(spark, users), USER)[1]
+
+
+@query("SELECT id, 'user' AS type, 'username' AS field, sha256('user::username::' || username) AS key FROM (SELECT id, username FROM users WHERE id <> 4 UNION ALL SELECT -1, 'new one')")
+def q_unique_stored(spark, d):
+    """Stored hashes after an object came and another's were deleted by key."""
+    users = engine(spark, d).catalog[USER]
+    stored = constraints.unique_hashes(users, USER)
+    stored, _ = constraints.insert_unique_hashes(stored, USER.conform(_new_users(spark, [(-1, 7, "new one", -1e5, "A")])), USER)
+    gone = [r["key"] for r in constraints.hashes_of_object(stored, 4).collect()]
+    return constraints.delete_unique_hashes(stored, gone).where("field = 'username'").select("id", "type", "field", "key")
+
+
+@query("SELECT 'username' AS field, sha256('user::username::' || username) AS key FROM users WHERE id = 4")
+def q_hashes_of_object(spark, d):
+    return constraints.hashes_of_object(constraints.unique_hashes(engine(spark, d).catalog[USER], USER), 4).where("field = 'username'")
+
+
+@query("SELECT * FROM users WHERE id <> 4")
+def q_delete_object(spark, d):
+    users = engine(spark, d).catalog[USER]
+    kept, _ = mutate.delete_object(users, 4, users.where("id = 4").first()["owner"])
+    return _user(mutate.delete_object(kept, 5, -1)[0])  # nobody's: nothing goes
+
+
+@query("SELECT id, owner, username, CASE id WHEN 4 THEN 2.5 WHEN 5 THEN 7 ELSE balance END AS balance, segment FROM users")
+def q_update_repeated(spark, d):
+    """Of two updates of one object the greater counts, and the object stays one row."""
+    users = engine(spark, d).catalog[USER]
+    return _user(mutate.update_objects(users, spark.createDataFrame([(4, 1.5), (4, 2.5), (5, 7.0), (-9, 1.0)], "id long, balance double"), USER))
+
+
+@query("SELECT * FROM follows WHERE NOT (src = 3 AND dst IN (7, 8)) UNION ALL SELECT 3, 7, 60, true UNION ALL SELECT 3, 8, 1, false UNION ALL SELECT 3, -1, 5, true")
+def q_upsert_edges(spark, d):
+    follows = engine(spark, d).catalog[FOLLOW]
+    rows = [(3, 7, 50, False), (3, 7, 60, True), (3, 8, 1, False), (3, -1, 5, True)]
+    return constraints.upsert_edges(follows, spark.createDataFrame(rows, FOLLOW.schema), [F.col("weight").desc()])
+
+
+@query("SELECT src, CASE WHEN src = 3 AND dst = 7 THEN 9 ELSE dst END AS dst, CASE WHEN src = 3 AND dst = 7 THEN 100 ELSE weight END AS weight, notification FROM follows WHERE NOT (src = 3 AND dst = 9)")
+def q_edge_retarget(spark, d):
+    """The edge to 7 leads to 9 afterwards, in place of the one that led there."""
+    return mutate.update_edge(engine(spark, d).catalog[FOLLOW], 3, 7, {"weight": 100}, to=9)
+
+
+@query("SELECT * FROM follows")
+def q_edge_retarget_missing(spark, d):
+    """There is no edge to -7, so the one to 9 stays."""
+    return mutate.update_edge(engine(spark, d).catalog[FOLLOW], 3, -7, {"weight": 100}, to=9)
+
+
+@query("SELECT * FROM (VALUES ('balance', 'double', true, false, true), ('segment', 'string', true, false, false), ('username', 'string', true, true, false)) AS v(field, type, searched, sorted, private)")
+def q_fields(spark, d):
+    """What a type says of its fields."""
+    rows = [(n, t, "search" in USER.indexes.get(n, ()), "sort" in USER.indexes.get(n, ()), n in USER.private) for n, t in USER.fields.items()]
+    return spark.createDataFrame(rows, "field string, type string, searched boolean, sorted boolean, private boolean")
+
+
+@query("SELECT 1 AS id, 7 AS owner, 'a' AS name, 2.5 AS balance")
+def q_memory_source(spark, d):
+    """Objects of rows in memory."""
+    mine = Catalog(spark).rows(ORG, [(1, 7, None, None, "a", 2.5), (2, 8, None, None, "b", 1.0)])
+    return Engine(mine).fetch_owned_objects(ORG, 7).select("id", "owner", "name", "balance")
+
+
+@query("SELECT 'query.rows' AS name, count(*) AS n FROM posts WHERE status = 'F' UNION ALL SELECT 'query_edges.rows', count(*) FROM follows WHERE src = 17")
+def q_metrics(spark, d):
+    """Rows that two queries gave, counted in their own jobs."""
+    metrics = Metrics()
+    e = Engine(catalog(spark, d), metrics=metrics)
+    for df in (e.query_objects(POST, Query.wide().where_eq("status", "F")), e.query_edges(FOLLOW, 17)):
+        df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(sorted(metrics.rows().items()), "name string, n long")
+
+
 # joins and tops
 
 
@@ -630,15 +816,11 @@ def q_portfolio_sorted(spark, d):
 
 @query("SELECT * FROM txns WHERE (sender = 7 OR receiver = 7) AND created_at BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1997-12-31'")
 def q_txn_by_owner(spark, d):
-    import datetime
-
     return reads.of_owner(transactions(spark, d), 7, datetime.datetime(1993, 1, 1), datetime.datetime(1997, 12, 31))
 
 
 @query("SELECT * FROM txns WHERE asset = 'ASIA' AND created_at BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-03-31'")
 def q_txn_by_asset(spark, d):
-    import datetime
-
     return reads.of_asset(transactions(spark, d), "ASIA", datetime.datetime(1995, 1, 1), datetime.datetime(1995, 3, 31))
 
 
@@ -654,6 +836,170 @@ def q_txn_get(spark, d):
     return reads.transaction(transactions(spark, d), assets(spark, d), 123)
 
 
+def _held(spark, d) -> DataFrame:
+    return reads.valued(reads.holdings(value_objects(spark, d), assets(spark, d)), _rates(spark)).select("owner", "code", "quantity", "rate", "value")
+
+
+_VALUED = f"SELECT owner, asset AS code, quantity, {_RATE} AS rate, quantity * {_RATE} AS value FROM {_HELD}"
+
+
+@query(f"{_VALUED} ORDER BY quantity DESC, code, owner LIMIT 10")
+def q_portfolio_largest(spark, d):
+    return reads.sorted_holdings(_held(spark, d)).limit(10)
+
+
+@query(f"{_VALUED} ORDER BY quantity, code, owner LIMIT 10")
+def q_portfolio_smallest(spark, d):
+    return reads.sorted_holdings(_held(spark, d), largest=False).limit(10)
+
+
+@query(f"{_VALUED} ORDER BY value DESC, code, owner LIMIT 10")
+def q_portfolio_value_desc(spark, d):
+    return reads.sorted_holdings(_held(spark, d), "value").limit(10)
+
+
+@query(f"{_VALUED} ORDER BY value, code, owner LIMIT 10")
+def q_portfolio_value_asc(spark, d):
+    return reads.sorted_holdings(_held(spark, d), "value", largest=False).limit(10)
+
+
+@query(f"SELECT * FROM ({_VALUED}) WHERE code = 'ASIA'")
+def q_portfolio_get(spark, d):
+    return reads.holding(_held(spark, d), "ASIA")
+
+
+# the ledger's write side, on the tables: what each operation leaves
+
+
+def _ledger(spark, d) -> Ledger:
+    empty = Ledger.empty(spark)
+    kinds = {f.name: f.dataType for f in empty.objects.schema}
+    objects = value_objects(spark, d).withColumn("reserved_for", F.when(F.col("state") == "reserved", F.col("owner")))
+    named = assets(spark, d).withColumn("unit", F.lit(1_000_000).cast("long")).select("id", "code", "unit", "decimals")
+    return Ledger(named, objects.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items())), empty.transactions, empty.keys)
+
+
+def _states(ledger: Ledger) -> DataFrame:
+    """What each owner has of each asset, by state."""
+    sums = (F.coalesce(F.sum(F.when(F.col("state") == s, F.col("amount"))), F.lit(0)).cast("long").alias(s) for s in ("alive", "reserved", "burned"))
+    return ledger.objects.groupBy("asset", "owner").agg(*sums)
+
+
+def _richest(ledger: Ledger, state: str) -> tuple[str, str, int]:
+    """The asset and owner with the most in a state, and half of that."""
+    row = _states(ledger).orderBy(F.col(state).desc(), "asset", "owner").first()
+    return row["asset"], row["owner"], row[state] // 2
+
+
+_SUM3 = ", ".join(f"CAST(coalesce(sum(amount) FILTER (state = '{s}'), 0) AS BIGINT) AS {s}" for s in ("alive", "reserved", "burned"))
+_MINE = ", o AS (SELECT CAST(id AS VARCHAR) AS id, asset, CAST(owner AS VARCHAR) AS owner, amount, state, created_at FROM objects)"
+_ALL_OF = f"SELECT asset, owner, {_SUM3} FROM"
+
+
+def _spending(state: str, *receipts: str) -> str:
+    """The richest owner spends half of what is in ``state``: oldest fragments burn, change comes back, and
+    receipts (owner, amount, state) arrive."""
+    parts = [f"SELECT asset, owner, -t, '{state}' FROM payer, taken", "SELECT asset, owner, t, 'burned' FROM payer, taken", f"SELECT asset, owner, t - need, '{state}' FROM payer, taken"]
+    parts += [f"SELECT asset, {r} FROM payer" for r in receipts]
+    return f"""{_MINE}, s AS ({_ALL_OF} o GROUP BY asset, owner), payer AS (SELECT asset, owner, {state} // 2 AS need FROM s ORDER BY {state} DESC, asset, owner LIMIT 1),
+  run AS (SELECT o.amount, sum(o.amount) OVER (ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) - o.amount AS before, need FROM o JOIN payer USING (asset, owner) WHERE state = '{state}'),
+  taken AS (SELECT sum(amount) AS t FROM run WHERE before < need), later AS (SELECT asset, owner, amount, state FROM o UNION ALL {" UNION ALL ".join(parts)})
+  {_ALL_OF} later GROUP BY asset, owner"""
+
+
+@query(f"{_MINE} {_ALL_OF} (SELECT asset, owner, amount, state FROM o UNION ALL SELECT 'ASIA', 'shop', 2500000, 'alive') GROUP BY asset, owner")
+def q_ledger_mint(spark, d):
+    return _states(_ledger(spark, d).atomic(lambda p: p.mint("ASIA", "shop", 2_500_000), _NOW))
+
+
+@query("SELECT amount, count(*) AS n FROM (VALUES (1000000), (1000000), (500000)) AS v(amount) GROUP BY amount")
+def q_ledger_mint_fragments(spark, d):
+    after = _ledger(spark, d).atomic(lambda p: p.mint("ASIA", "shop", 2_500_000), _NOW)
+    return after.objects.where("owner = 'shop'").groupBy("amount").agg(F.count("*").alias("n"))
+
+
+@query(_spending("alive", "'shop', need - 100, 'alive'"))
+def q_ledger_transfer(spark, d):
+    """Money is sliced: a fee is burned, the rest goes to the shop, change comes back."""
+    start = _ledger(spark, d)
+    asset, owner, amount = _richest(start, "alive")
+
+    def pay(p):
+        part = p.money(asset, owner, amount).slice(amount)
+        fee = part.slice(100)
+        part.transfer_to("shop")
+        fee.burn()
+
+    return _states(start.atomic(pay, _NOW))
+
+
+@query(_spending("alive", "'court', need, 'reserved'"))
+def q_ledger_reserve(spark, d):
+    start = _ledger(spark, d)
+    asset, owner, amount = _richest(start, "alive")
+    return _states(start.atomic(lambda p: p.reserve(asset, owner, "court", amount), _NOW))
+
+
+@query(_spending("reserved", "'bob', need, 'alive'"))
+def q_ledger_settle(spark, d):
+    """Of what is reserved the oldest burns, and its change stays reserved."""
+    start = _ledger(spark, d)
+    asset, owner, amount = _richest(start, "reserved")
+    return _states(start.atomic(lambda p: p.settle(asset, owner, "bob", amount), _NOW))
+
+
+@query(_spending("alive"))
+def q_ledger_burn(spark, d):
+    start = _ledger(spark, d)
+    asset, owner, amount = _richest(start, "alive")
+    return _states(start.atomic(lambda p: p.burn(asset, owner, amount), _NOW))
+
+
+@query("SELECT 'ASIA' AS asset, CAST(NULL AS VARCHAR) AS sender, 'ann' AS receiver, 0 AS burned_amount, 500 AS minted_amount, sha256('once') AS key, true AS refused")
+def q_ledger_idempotent(spark, d):
+    """Minted once, and a second time with the same key, which is refused and leaves no trace."""
+    after, refused = _ledger(spark, d).atomic(lambda p: p.mint("ASIA", "ann", 500, key="once"), _NOW), False
+    try:
+        after.atomic(lambda p: p.mint("ASIA", "ann", 500, key="once"), _NOW)
+    except DuplicateIdempotencyKey:
+        refused = True
+    keys = after.keys.select(F.col("transaction_id").alias("id"), "key")
+    return after.transactions.join(keys, "id").select("asset", "sender", "receiver", "burned_amount", "minted_amount", "key", F.lit(refused).alias("refused"))
+
+
+@query(f"{_MINE}, s AS ({_ALL_OF} o GROUP BY asset, owner), p AS (SELECT asset, owner, alive // 2 AS need FROM s ORDER BY alive DESC, asset, owner LIMIT 1) SELECT asset, CAST(NULL AS VARCHAR) AS sender, 'shop' AS receiver, 0 AS burned_amount, 7 AS minted_amount FROM p UNION ALL SELECT asset, owner, 'shop', need, need FROM p UNION ALL SELECT asset, owner, NULL, 10, 0 FROM p")
+def q_ledger_journal(spark, d):
+    """The transactions of a plan of three operations."""
+    start = _ledger(spark, d)
+    asset, owner, amount = _richest(start, "alive")
+
+    def make(p):
+        p.mint(asset, "shop", 7)
+        p.money(asset, owner, amount).slice(amount).transfer_to("shop")
+        p.burn(asset, owner, 10)
+
+    return start.atomic(make, _NOW).transactions.select("asset", "sender", "receiver", "burned_amount", "minted_amount")
+
+
+@query("SELECT r_name AS id, r_name AS code, CAST(CASE r_name WHEN 'ASIA' THEN 500 ELSE 1000000 END AS BIGINT) AS unit, CASE r_name WHEN 'ASIA' THEN 3 ELSE 2 END AS decimals FROM region")
+def q_ledger_create_asset(spark, d):
+    """An asset of a known code changes and keeps its id."""
+    return _ledger(spark, d).create_asset("ASIA", 500, 3).assets.select("id", "code", "unit", "decimals")
+
+
+@query(f"SELECT asset, owner, CAST(300000 AS BIGINT) AS required, available FROM (SELECT asset, owner, {_SUMS} FROM objects GROUP BY asset, owner) WHERE available < 300000")
+def q_shortfalls(spark, d):
+    objects = value_objects(spark, d)
+    return frag.shortfalls(objects, objects.select("asset", "owner", F.lit(300000).cast("long").alias("required")).distinct())
+
+
+@query("SELECT a AS old, b AS new, (a, b) IN (('alive', 'reserved'), ('alive', 'burned'), ('reserved', 'alive'), ('reserved', 'burned')) AS allowed FROM (VALUES ('alive'), ('reserved'), ('burned')) AS x(a), (VALUES ('alive'), ('reserved'), ('burned')) AS y(b)")
+def q_state_machine(spark, d):
+    states = ("alive", "reserved", "burned")
+    pairs = spark.createDataFrame([(a, b) for a in states for b in states], "old string, new string")
+    return pairs.withColumn("allowed", may_become(F.col("old"), F.col("new")))
+
+
 _LOCKED = "SELECT *, CAST(sum(amount) OVER (PARTITION BY asset, owner ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS BIGINT) - amount AS before FROM objects WHERE state = 'alive'"
 
 

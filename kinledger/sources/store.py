@@ -1,8 +1,10 @@
 """Versions of a set of Parquet tables, published by one small pointer.
 
-A commit writes new folders and then moves the pointer from the version it started from to
-its own. The move creates a file that must not exist yet, so of two writers from one
-version exactly one succeeds; readers of older versions aren't disturbed.
+A commit writes new folders, then its pointer to a hidden file, and then renames that to its
+version's name, which must not exist yet: of two writers from one version exactly one
+succeeds, and a pointer is never seen before it is whole, or at all if its writer died. The
+file system must rename in one step (HDFS does; an object store without such a rename needs a
+lock beside it). Readers of older versions aren't disturbed.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ class SnapshotStore:
     def version(self) -> int:
         """The latest published version; 0 if there is none."""
         fs, p = self._fs(f"{self.path}/versions")
-        return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 0
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
     def read(self, version: int | None = None) -> dict[str, DataFrame]:
         version = self.version() if version is None else version
@@ -48,13 +51,23 @@ class SnapshotStore:
             folder = f"{self.path}/data/{name}-{uuid.uuid4().hex}"
             df.write.parquet(folder)
             kept[name] = folder
-        fs, pointer = self._fs(f"{self.path}/versions/{base + 1}")
         if self.version() != base:
             raise Conflict(f"version {base} isn't the latest")
+        self._publish(base + 1, "".join(f"{name}\t{folder}\n" for name, folder in sorted(kept.items())))
+        return base + 1
+
+    def _publish(self, version: int, text: str) -> None:
+        fs, hidden = self._fs(f"{self.path}/versions/.{version}-{uuid.uuid4().hex}")
+        out = fs.create(hidden, False)
+        out.write(text.encode())
+        out.close()
+        jvm = self.spark.sparkContext._jvm
+        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{version}")
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(hidden.toUri() if hidden.toUri().getScheme() else fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE  # don't overwrite
         try:
-            out = fs.create(pointer, False)
+            files.rename(hidden, pointer, never)
         except Exception as e:
-            raise Conflict(f"version {base + 1} was published meanwhile") from e
-        out.write("".join(f"{name}\t{folder}\n" for name, folder in sorted(kept.items())).encode())
-        out.close()
-        return base + 1
+            fs.delete(hidden, False)
+            raise Conflict(f"version {version} was published meanwhile") from e

@@ -8,11 +8,12 @@ from kinledger.functions.predicates import Filter, combined, eq, predicate
 from kinledger.model import NIL_OWNER, SYSTEM_OWNER, EdgeType, ObjectType, SchemaError
 from kinledger.operators import constraints, mutate
 from kinledger.operators.engine import Engine
-from kinledger.operators.sequences import Sequences, numbered
+from kinledger.operators.sequences import Sequences, StoredSequences, numbered
 from kinledger.operators.traverse import grouped, nested
 from kinledger.operators.unions import as_variants
 from kinledger.plans.query import EdgeQuery, Query
 from kinledger.sources.catalog import Catalog
+from kinledger.sources.store import SnapshotStore
 from pyspark.sql import functions as F
 
 NOW = datetime.datetime(2024, 1, 1)
@@ -62,7 +63,7 @@ def test_reads(engine):
 
 
 def test_long_lists_of_keys_are_joined(engine, monkeypatch):
-    from kinledger.operators import engine as module
+    from kinledger.plans import query as module
 
     monkeypatch.setattr(module, "MOST_LISTED", 1)
     assert sorted(ids(engine.fetch_objects(PERSON, ["1", "3", "x"]))) == ["1", "3"]
@@ -207,6 +208,48 @@ def test_edge_changes(catalog, spark):
     assert mutate.delete_object_edges(edges, "1").count() == 3
 
 
+def test_edges_without_an_end_stay(catalog, spark):
+    edges = spark.createDataFrame([("1", "2", True, 1), ("1", "3", True, 2), (None, "2", True, 3), ("1", None, True, 4)], KNOWS.schema)
+    left = lambda df: sorted(((r.src or "", r.dst or "", r.since) for r in df.collect()))
+    every = left(edges)
+    assert left(mutate.update_edge(edges, "1", "9", {"since": 8}, to="3")) == every  # no such edge: nothing is replaced
+    assert left(mutate.update_edge(edges, "1", "2", {"since": 8}, to="3")) == sorted([("1", "3", 8), ("", "2", 3), ("1", "", 4)])
+    assert left(mutate.delete_edge(edges, "1", "2")) == [r for r in every if r != ("1", "2", 1)]
+    assert left(mutate.delete_object_edges(edges, "1")) == [("", "2", 3)]
+    twice = spark.createDataFrame([("1", "2", True, 5), ("1", "2", True, 7)], KNOWS.schema)
+    assert ("1", "2", 7) in left(constraints.upsert_edges(edges, twice)) and len(left(constraints.upsert_edges(edges, twice))) == 4
+
+
+def test_pivots_cut_edges_before_objects(engine):
+    plan = engine.preload_objects(PERSON, Query()).edge(KNOWS, PERSON).collect()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")  # deeper in the tree
+
+
+def test_a_database_over_jdbc(spark, tmp_path):
+    """Spark ships one: written to it and read back in parallel."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    people = spark.createDataFrame([(str(i), "me", f"n{i}", i) for i in range(20)], "id string, owner string, name string, coins long")
+    people.write.format("jdbc").option("url", url).option("driver", driver).option("dbtable", "people").option("createTableColumnTypes", "id VARCHAR(20), owner VARCHAR(20), name VARCHAR(20)").save()
+    mine = Catalog(spark).jdbc(PERSON, url, "people", column="coins", bounds=(0, 20, 3), driver=driver)
+    assert mine[PERSON].rdd.getNumPartitions() == 3
+    assert sorted(ids(Engine(mine).query_objects(PERSON, Query.of("me").where_gte("coins", 17)))) == ["17", "18", "19"]
+
+
+def test_stored_counters(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    one, two = StoredSequences(store), StoredSequences(SnapshotStore(spark, str(tmp_path)))
+    assert (one.value("x"), one.next_value("x"), two.next_value("x"), one.take("x", 5), two.value("x"), two.value("y")) == (1, 2, 3, 4, 8, 1)
+
+
+def test_numbers_without_buckets(spark):
+    rows = [(None if k % 50 == 0 else k * 37 % 500, k) for k in range(500)]
+    got = {r.k: r.number for r in numbered(spark.createDataFrame(rows, "v long, k long"), ["v", "k"]).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {k: i + 1 for i, (_, k) in enumerate(want)}
+    text = spark.createDataFrame([("b",), ("a",)], "v string")
+    assert {r.v: r.number for r in numbered(text, ["v"]).collect()} == {"a": 1, "b": 2}
+
+
 def test_sequences(spark):
     s = Sequences()
     assert (s.value("x"), s.next_value("x"), s.value("x")) == (1, 2, 2)

@@ -8,6 +8,7 @@ from kinledger.ledger import reads
 from kinledger.ledger.execute import Ledger
 from kinledger.ledger.fragments import fifo_select, fragment_sizes
 from kinledger.ledger.model import Asset, AssetNotFound, DuplicateIdempotencyKey, InsufficientFunds, InvalidAmount, LedgerError, UnconsumedSlice, may_become
+from kinledger.plans.metrics import Metrics
 from kinledger.sources.store import Conflict, SnapshotStore
 from pyspark.sql import functions as F
 
@@ -129,3 +130,23 @@ def test_one_of_two_writers_wins(start, tmp_path):
         store.commit(base, ledger.atomic(spend, T).tables())
     assert have(Ledger(**store.read()), "bob") == (100, 0)
     assert have(Ledger(**store.read(base)), "ann") == (100, 0)
+
+
+def test_a_writer_that_dies_leaves_nothing(start, tmp_path, monkeypatch):
+    store = SnapshotStore(start.spark, str(tmp_path / "s"))
+    base = store.commit(0, start.tables())
+    pointer = store._fs(f"{store.path}/versions/.2-dead")
+    pointer[0].create(pointer[1], False)  # never written, never closed, never renamed
+    assert store.version() == base and set(store.read()) == set(start.tables())
+    assert store.commit(base, start.tables()) == base + 1
+    monkeypatch.setattr(store, "version", lambda: base)  # another writer was faster than this one saw
+    with pytest.raises(Conflict):
+        store.commit(base, start.tables())
+
+
+def test_metrics_of_a_run(start):
+    metrics = Metrics()
+    start.atomic(lambda p: p.mint(start.asset("USD").id, "ann", 700), T, metrics)
+    with pytest.raises(InvalidAmount), metrics.timed("mint"):
+        start.atomic(lambda p: p.mint(start.asset("USD").id, "ann", 0), T, metrics)
+    assert metrics.counters["ledger.success"] == 1 and metrics.histograms["ledger.amount"] == [700] and len(metrics.histograms["mint.duration_ms"]) == 1
