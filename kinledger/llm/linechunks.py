@@ -1,30 +1,28 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of a document's lines (the last two) chooses where chunks
-end, so an inserted line shifts no boundary beyond its neighbours. A line of ``heavy``
-words or more is a chunk of its own whatever stands around it: long lines are what
-passages are made of, and they then match wherever they are put.
-
-A chunk's first occurrence, by doc_id and place, stays. A later one is removed if its bytes
-equal the first one's and the run of such chunks around it has at least ``least_words``
-words. A run goes on from a chunk to the next only if the two stand together earlier too:
-short lines that many documents share (a licence line, a byline) stay, even beside a
-passage that goes.
-
-Where lines are short, the chunk at either edge of a passage takes in lines of the host, so
-chunks alone lose it. There windows decide as well: from each line on, and back from each
-line, the shortest run of lines that has ``least_words`` words. Each line of a passage that
-long stands in a window inside the passage, whatever stands around it, so a window that
-stands earlier goes, and with it every passage of ``least_words`` words, to its last line.
-Windows of heavy lines alone aren't made: their chunks are these lines.
+A rolling hash over the hashes of a document's lines (the last two that have words) chooses
+where chunks end, all lines alike: a chunk has ``spread`` lines on average, and an inserted line
+shifts no boundary beyond its neighbours. A chunk of several lines that stands earlier in the
+corpus too, byte for byte, is removed, if it has ``chunk_words`` words: two short lines that meet
+by chance, such as a licence line and a byline, aren't a passage.
+
+Boundaries fall where hashes say, so the chunk at either edge of a passage takes in lines of its
+host, and a passage of one or two long lines may hold no whole chunk. For passages of
+``least_words`` words and more that isn't left to luck: beside the chunks, each line opens and closes
+a window, the shortest run of lines with so many words. Any line of such a passage stands in a
+window inside the passage, whatever stands around it. Windows that stand earlier go like chunks.
+What is neither in such a chunk nor in a repeated passage of ``least_words`` words stays.
+
+The first occurrence, by doc_id and place, stays. A later one in the same document counts only
+if it doesn't overlap the first.
 
 Chunks and windows meet by hash in partial sums (least and greatest occurrence), never in one
-group. Only those whose hash occurs again have their bytes sent, to their first occurrence's;
-of a document's windows as many as cover the same lines, so no line is in more than two.
+group. Of a document's repeated ones as few as cover the same lines send their bytes to meet
+the first occurrence's. Texts are shuffled once, as zstd frames, to meet what is wanted of them.
 
 Null text stays null and has no chunk; the empty text is one empty line, which is never
-removed. Rows that repeat a doc_id and text are one document and are treated alike. A null
-doc_id comes first in the order.
+removed. Very long texts are read whole, a text a time. Rows that repeat a doc_id and text are one
+document and are treated alike. A null doc_id comes first in the order.
 """
 
 from __future__ import annotations
@@ -38,19 +36,18 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .bytetext import NOT_SPACE, blocks, lines, mix, packed, span_hashes, unpacked
 from .common import discard, extended, table, written
 
-#: A line of this many words is a chunk of its own.
-HEAVY = 8
-#: One in this many other lines ends a chunk.
-SPREAD = 2
-#: Words of a run of repeated chunks that is removed.
+#: One in this many lines ends a chunk: so many lines a chunk has on average.
+SPREAD = 3
+#: Words of a repeated chunk that goes.
+CHUNK_WORDS = 20
+#: Words of a passage that goes though it holds no whole chunk of several lines.
 LEAST_WORDS = 50
 
 _OLDER = np.uint64(0x9E3779B97F4A7C15)
-_WINDOW = np.uint64(0xD1B54A32D192ED03)
 
 
-def _counted_lines(data, offsets):
-    """Start, end, row and number of words of each line."""
+def _worded_lines(data, offsets):
+    """Start, end, row and number of words of each line that has words."""
     start, end, row = lines(data, offsets)
     inside = NOT_SPACE[data]
     opens = inside.copy()
@@ -58,53 +55,50 @@ def _counted_lines(data, offsets):
     at = offsets[:-1][offsets[:-1] < len(data)]
     opens[at] = inside[at]
     total = np.concatenate([[0], np.cumsum(opens)])
-    return start, end, row, total[end] - total[start]
+    words = total[end] - total[start]
+    some = words > 0
+    return start[some], end[some], row[some], words[some]
 
 
-def chunk_table(data, offsets, heavy: int = HEAVY, spread: int = SPREAD):
-    """row, start, end (bytes, with the breaks between the lines), words and hash of each chunk."""
-    start, end, row, words = _counted_lines(data, offsets)
+def chunk_lines(data, start, end, row, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of each chunk; together they are all lines."""
     h = span_hashes(data, start, end)
-    before = np.concatenate([[0], h[:-1]]).astype(np.uint64)
-    before[np.concatenate([[True], row[1:] != row[:-1]])] = 0
-    rolled = mix(h + before * _OLDER)  # of this line and the one before
-    own = words >= heavy
-    last = own | (rolled % np.uint64(spread) == 0)
-    last[:-1] |= own[1:] | (row[1:] != row[:-1])
-    last[-1:] = True
-    ends = np.flatnonzero(last)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    counts = np.concatenate([[0], np.cumsum(words)])
-    a, b = start[starts], end[ends]
-    return row[starts], a, b, counts[ends + 1] - counts[starts], span_hashes(data, a, b)
-
-
-def window_table(data, offsets, heavy: int = HEAVY, least_words: int = LEAST_WORDS):
-    """row, start, end (bytes), first and last line (of the row's lines with words) and hash of each
-    window that has a line of fewer than ``heavy`` words."""
-    start, end, row, words = _counted_lines(data, offsets)
-    start, end, row, words = (x[words > 0] for x in (start, end, row, words))
+    before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])[: len(h)]
+    opens = np.ones(len(row), bool)
+    opens[1:] = row[1:] != row[:-1]
+    before[opens] = 0
+    closes = mix(h + before * _OLDER) % np.uint64(spread) == 0
+    closes[:-1] |= opens[1:]
+    closes[-1:] = True
+    last = np.flatnonzero(closes)
+    return np.concatenate([np.zeros(1, np.int64), last[:-1] + 1])[: len(last)], last
+
+
+def window_lines(row, words, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the windows that open and close at each line, where the row has the words."""
     total, n, least = np.concatenate([[0], np.cumsum(words)]), len(words), max(least_words, 1)
     line = np.arange(n)
     on = np.stack([line, np.searchsorted(total, total[:-1] + least) - 1])
     back = np.stack([np.searchsorted(total, total[1:] - least, "right") - 1, line])
-    both = np.concatenate([on, back], 1)
-    low, high = both[:, (both[0] >= 0) & (both[1] < n)]
-    light = np.concatenate([[0], np.cumsum(words < heavy)])
-    inside = (row[low] == row[high]) & (light[high + 1] > light[low])
-    low, high = np.divmod(np.unique(low[inside] * n + high[inside]), max(n, 1))
-    a, b, of = start[low], end[high], row[low]
+    low, high = np.concatenate([on, back], 1)
+    fits = (low >= 0) & (high < n)
+    low, high = low[fits], high[fits]
+    return tuple(x[row[low] == row[high]] for x in (low, high))
+
+
+def pieces(data, offsets, spread: int = SPREAD, chunk_words: int = CHUNK_WORDS, least_words: int = LEAST_WORDS):
+    """row, first and last line (of the row's lines that have words), start and end (bytes of the row) and hash
+    of each chunk of several lines and each window."""
+    start, end, row, words = _worded_lines(data, offsets)
+    n = max(len(row), 1)
+    low, high = chunk_lines(data, start, end, row, spread)
+    total = np.concatenate([[0], np.cumsum(words)])
+    several = (high > low) & (total[high + 1] - total[low] >= chunk_words)
+    more_low, more_high = window_lines(row, words, least_words)
+    low, high = np.divmod(np.unique(np.concatenate([low[several] * n + high[several], more_low * n + more_high])), n)
+    of, a, b = row[low], start[low], end[high]
     first = np.searchsorted(row, of)
-    return of, a, b, low - first, high - first, mix(span_hashes(data, a, b) ^ _WINDOW)
-
-
-def _pieces(data, offsets, heavy: int, spread: int, least_words: int):
-    """row, start, end, hash, first and last line of each row's chunks (lines: -1), then its windows."""
-    row, a, b, _, h = chunk_table(data, offsets, heavy, spread)
-    of, x, y, low, high, g = window_table(data, offsets, heavy, least_words)
-    none = np.full(len(row), -1)
-    order = np.argsort(np.concatenate([row, of]), kind="stable")
-    return tuple(np.concatenate(both)[order] for both in ((row, of), (a, x), (b, y), (h, g), (none, low), (none, high)))
+    return of, low - first, high - first, a - offsets[of], b - offsets[of], span_hashes(data, a, b)
 
 
 def _key(documents: DataFrame) -> DataFrame:
@@ -112,178 +106,168 @@ def _key(documents: DataFrame) -> DataFrame:
     return documents.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
 
 
-def chunks(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, key, place and hash of each chunk that has words, and the hash of it with the one before
-    (pair); the same of each window, whose places follow the chunks', with its lines (low, high) and no pair."""
+def chunks(documents: DataFrame, *, spread: int = SPREAD, chunk_words: int = CHUNK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, key, low, high (lines), start, stop (bytes) and hash of each chunk of several lines and each window."""
 
     def cut(batches):
         for batch in batches:
             for first, data, offsets in blocks(batch["text"]):
-                row, a, b, h, low, high = _pieces(data, offsets, heavy, spread, least_words)
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                worded = np.concatenate([[0], np.cumsum(NOT_SPACE[data])])
-                some = worded[b] > worded[a]
-                row, place, h, low, high = row[some], place[some].astype(np.int32), h[some], low[some].astype(np.int32), high[some].astype(np.int32)
-                pair = mix(h + np.concatenate([[0], h[:-1]]).astype(np.uint64) * _OLDER).view(np.int64)
-                window = low >= 0
-                lone = np.concatenate([[True], row[1:] != row[:-1]]) | window
+                row, *places, h = pieces(data, offsets, spread, chunk_words, least_words)
                 at = pa.array(first + row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(at), batch["key"].take(at), pa.array(place), pa.array(h.view(np.int64)), pa.array(pair, mask=lone), pa.array(low, mask=~window), pa.array(high, mask=~window)],
-                    ["doc_id", "key", "place", "hash", "pair", "low", "high"],
+                    [batch["doc_id"].take(at), batch["key"].take(at), *(pa.array(x.astype(np.int32)) for x in places), pa.array(h.view(np.int64))],
+                    ["doc_id", "key", "low", "high", "start", "stop", "hash"],
                 )
 
     keyed = _key(documents.where("text is not null").select("doc_id", "text")).select("doc_id", "key", "text")
-    return keyed.mapInArrow(cut, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key binary, place int, hash long, pair long, low int, high int")
-
+    return keyed.mapInArrow(cut, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key binary, low int, high int, start int, stop int, hash long")
 
-def _packed(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``key``, and the text as compressed bytes for the way to a join."""
-    keyed = _key(documents)
-    names = keyed.columns
-
-    def pack(batches):
-        for batch in batches:
-            columns = [packed(c) if name == "text" else c for name, c in zip(names, batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return keyed.mapInArrow(pack, StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in keyed.schema]))
+def covering(low: list[int], high: list[int]) -> list[int]:
+    """Indexes of some of the runs from low to high, sorted by low, that together stand on the same lines."""
+    taken: list[int] = []
+    done, best = -1, -1  # best: the farthest of those that leave no line after done open
+    for i, (x, y) in enumerate(zip(low, high)):
+        if best >= 0 and x > done + 1:
+            taken.append(best)
+            done, best = high[best], -1
+        if y > done and (best < 0 or y > high[best]):
+            done = max(done, x - 1) if best < 0 else done
+            best = i
+    return [*taken, best] if best >= 0 else taken
 
 
-def _bytes_of(documents: DataFrame, wanted: DataFrame, heavy: int, spread: int, least_words: int) -> DataFrame:
-    """The bytes of the chunks and windows at ``wanted`` (w_doc_id, w_key, places: array of structs place, is_first,
-    joined), from whole texts."""
+def _covered(repeats: DataFrame) -> DataFrame:
+    """Of each document's repeated pieces (doc_id, key, low, high, start, stop, hash) some that cover the same lines."""
+    names = ["doc_id", "key", "start", "stop", "hash"]
+    listed = repeats.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("low", "high", "start", "stop", "hash"))).alias("pieces"))
 
-    def cut(batches):
+    def chosen(batches):
         for batch in batches:
-            places = batch["places"]
-            sizes = np.diff(places.offsets.to_numpy())
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            flat = places.flatten()
-            place, is_first, joined = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("place", "is_first", "joined"))
-            for first, data, offsets in blocks(unpacked(batch["text"])):
-                row, a, b, h, _, _ = _pieces(data, offsets, heavy, spread, least_words)
-                starts = np.searchsorted(row, np.arange(len(offsets) - 1))
-                n = sizes[first : first + len(starts)]
-                mine = slice(ends[first], ends[first + len(starts)])
-                of = np.repeat(np.arange(len(starts)), n)
-                at = starts[of] + place[mine]
-                text = data.tobytes()
-                doc = pa.array(first + of)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), pa.array(is_first[mine]), pa.array(joined[mine]), batch["doc_id"].take(doc), batch["key"].take(doc), pa.array(place[mine]), pa.array([text[x:y] for x, y in zip(a[at], b[at])], pa.binary())],
-                    ["hash", "is_first", "joined", "doc_id", "key", "place", "bytes"],
-                )
-
-    keyed = _packed(documents.where("text is not null").select("doc_id", "text"))
-    found = keyed.join(wanted, keyed.key.eqNullSafe(wanted.w_key) & keyed.doc_id.eqNullSafe(wanted.w_doc_id)).select("doc_id", "key", "text", "places")
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(cut, f"hash long, is_first boolean, joined boolean, doc_id {kind}, key binary, place int, bytes binary")
+            sizes = np.diff(batch["pieces"].offsets.to_numpy())
+            flat = batch["pieces"].flatten()
+            low, high = (flat.field(x).to_pylist() for x in ("low", "high"))
+            at, of, begin = [], [], 0
+            for doc, n in enumerate(sizes.tolist()):
+                mine = covering(low[begin : begin + n], high[begin : begin + n])
+                at += [begin + i for i in mine]
+                of += [doc] * len(mine)
+                begin += n
+            at, of = pa.array(at, pa.int64()), pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(of), batch["key"].take(of), *(flat.field(x).take(at) for x in names[2:])], names)
+
+    return listed.mapInArrow(chosen, repeats.select(*names).schema)
+
+
+def _wanted(documents: DataFrame, spread: int, chunk_words: int, least_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """w_doc_id, w_key and pieces (structs start, stop, hash, is_first) of the documents that hold a repeated piece
+    to remove or the first occurrence of one; and the tables that were written on the way."""
+    cut = written(chunks(documents, spread=spread, chunk_words=chunk_words, least_words=least_words), "chunks")
+    place = F.struct("doc_id", "key", "low", "high", "start", "stop")
+    ends = cut.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
+    # written, so that the joins below have plain exchanges, which adaptive execution splits
+    ends = written(ends, "chunk-firsts")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    again = cut.join(ends, "hash").where(~same | (F.col("low") > F.col("first.high"))).select(*cut.columns)
+    repeats = written(_covered(again), "chunk-repeats")
+    firsts = ends.join(repeats.select("hash").distinct(), "hash", "left_semi").select("first.doc_id", "first.key", "first.start", "first.stop", "hash")
+    both = repeats.withColumn("is_first", F.lit(False)).unionByName(firsts.withColumn("is_first", F.lit(True)))
+    # pieces of a document are three times its lines at most
+    listed = both.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("key").alias("w_key")).agg(F.sort_array(F.collect_set(F.struct("start", "stop", "hash", "is_first"))).alias("pieces"))
+    return listed, [cut, ends, repeats]
 
 
-def _cover(windows: DataFrame) -> DataFrame:
-    """Of each document's windows (doc_id, key, place, hash, low, high) some that stand on the same lines."""
-    names = ["doc_id", "key", "place", "hash"]
-    entry = F.struct("low", "high", "place", "hash")
-    listed = windows.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(entry)).alias("windows"))
+def _bytes_of(met: DataFrame) -> DataFrame:
+    """hash, is_first, doc, key, start and bytes of the pieces of ``met`` (__doc, __key, __pieces, text as frames)."""
 
-    def chosen(batches):
+    def cut(batches):
         for batch in batches:
-            sizes = np.diff(batch["windows"].offsets.to_numpy())
-            flat = batch["windows"].flatten()
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            low, high = (flat.field(x).to_numpy() for x in ("low", "high"))
-            taken, doc, done, best = [], -1, -1, -1  # best: the farthest that leaves no line before it open
-            for i, (d, x, y) in enumerate(zip(of.tolist(), low.tolist(), high.tolist())):
-                if best >= 0 and (d != doc or x > done + 1):
-                    taken.append(best)
-                    done, best = high[best], -1
-                if d != doc:
-                    doc, done, best = d, -1, -1
-                if best < 0 and y > done or best >= 0 and y > high[best]:
-                    if best < 0 and x > done + 1:
-                        done = x - 1
-                    best = i
-            if best >= 0:
-                taken.append(best)
-            at, doc = pa.array(np.array(taken, np.int64)), pa.array(of[taken] if taken else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(doc), batch["key"].take(doc), flat.field("place").take(at), flat.field("hash").take(at)], names)
-
-    return listed.mapInArrow(chosen, windows.select(*names).schema)
-
-
-def repeated(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, key and places of the chunks and windows whose bytes stand earlier too: sorted structs of
-    place and joined, which says whether the chunk stands earlier with the one before it."""
-    cut = written(chunks(documents, heavy=heavy, spread=spread, least_words=least_words), "chunks")
-    place = F.struct("doc_id", "key", "place")
-    ends = cut.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
-    # written, so that the join below has plain exchanges, which adaptive execution splits
-    ends = written(ends, "chunk-firsts")
-    again = written(cut.join(ends, "hash").select("doc_id", "key", "place", "hash", "pair", "low", "high", (place == F.col("first")).alias("is_first")), "chunk-again")
-    pairs = again.where("pair is not null").groupBy("pair").agg(F.min(place).alias("first_pair"), F.max(place).alias("last_pair"))
-    pairs = written(pairs.where("first_pair <> last_pair").drop("last_pair"), "chunk-pairs")
-    windows = written(_cover(again.where("low is not null and not is_first")), "chunk-windows")
-    firsts = again.where("low is not null and is_first").join(windows.select("hash").distinct(), "hash", "left_semi")
-    windows = windows.select("doc_id", "key", "place", F.lit(False).alias("is_first")).unionByName(firsts.select("doc_id", "key", "place", "is_first"))
-    again = again.where("low is null").join(pairs, "pair", "left").select("doc_id", "key", "place", "is_first", F.coalesce(place != F.col("first_pair"), F.lit(False)).alias("joined"))
-    again = again.unionByName(windows.withColumn("joined", F.lit(False)))
-    # places of a document are three times its lines at most
-    entry = F.struct("place", "is_first", "joined")
-    wanted = again.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("key").alias("w_key")).agg(F.sort_array(F.collect_set(entry)).alias("places"))
-    texts = written(_bytes_of(documents, wanted, heavy, spread, least_words), "chunk-bytes")
-    first = texts.where("is_first").select("hash", F.col("bytes").alias("first_bytes"))
-    same = texts.where("not is_first").join(first, "hash").where("bytes = first_bytes")
-    return same.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("place", "joined"))).alias("places"))
-
-
-def dedup_lines(documents: DataFrame, *, heavy: int = HEAVY, spread: int = SPREAD, least_words: int = LEAST_WORDS, prefix: str = "") -> DataFrame:
-    """``documents``, text without repeated passages, and the columns n_lines_removed and
+            listed = batch["__pieces"]
+            sizes, flat = np.diff(listed.offsets.to_numpy()), listed.flatten()
+            start, stop = (flat.field(x).to_pylist() for x in ("start", "stop"))
+            out, begin = [], 0
+            for text, n in zip(unpacked(batch["text"]).cast(pa.binary()), sizes.tolist()):
+                text = text.as_py()
+                out += [text[a:b] for a, b in zip(start[begin : begin + n], stop[begin : begin + n])]
+                begin += n
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [flat.field("hash"), flat.field("is_first"), batch["__doc"].take(of), batch["__key"].take(of), flat.field("start"), pa.array(out, pa.binary())],
+                ["hash", "is_first", "doc", "key", "start", "bytes"],
+            )
+
+    some = met.where("__pieces is not null").select("__doc", "__key", "__pieces", "text")
+    return some.mapInArrow(cut, f"hash long, is_first boolean, doc {met.schema['__doc'].dataType.simpleString()}, key binary, start int, bytes binary")
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """The text without the spans of whole lines, sorted by start; and how many lines and words went."""
+    parts, at, n_lines, n_words = [], 0, 0, 0
+    for a, b in spans:
+        if b < at:
+            continue
+        if a > at:
+            parts.append(text[at : a - 1])
+        gone = text[max(a, at) : b]
+        n_lines += gone.count(b"\n") + 1
+        n_words += len(gone.split())
+        at = b + 1
+    if at <= len(text):
+        parts.append(text[at:])
+    return b"\n".join(parts), n_lines, n_words
+
+
+def dedup_lines(documents: DataFrame, *, spread: int = SPREAD, chunk_words: int = CHUNK_WORDS, least_words: int = LEAST_WORDS, prefix: str = "") -> DataFrame:
+    """``documents``, text without repeated chunks and passages, and the columns n_lines_removed and
     n_words_removed (names begin with ``prefix``; columns of these names are replaced)."""
+    spark = documents.sparkSession
     added = [f"{prefix}n_lines_removed", f"{prefix}n_words_removed"]
     kept = documents.drop(*added)
-    names = kept.columns
-    found = written(repeated(documents, heavy=heavy, spread=spread, least_words=least_words), "chunk-places").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("places").alias("__places"))
-    ready = _packed(kept.withColumnRenamed("key", "__own_key"))
-    joined = ready.join(found, ready.doc_id.eqNullSafe(F.col("__doc")) & ready.key.eqNullSafe(F.col("__key")), "left").drop("key", "__doc", "__key")
+    names = [f"__{c}" for c in kept.columns]  # apart from the names used on the way
+    text = names[kept.columns.index("text")]
+    wanted, scratch = _wanted(documents, spread, chunk_words, least_words)
+    named = kept.select(*(F.col(c).alias(n) for c, n in zip(kept.columns, names))).withColumn("text", F.col(text)).drop(text)
+    named = _key(named)
+    order = named.columns
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([packed(c) if name == "text" else c for name, c in zip(order, batch.columns)], order)
+
+    frames = named.mapInArrow(pack, StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in named.schema]))
+    doc = names[kept.columns.index("doc_id")]
+    met = frames.join(wanted, frames[doc].eqNullSafe(F.col("w_doc_id")) & (F.col("key") == F.col("w_key")), "left").drop("w_doc_id", "w_key")
+    met = written(met.withColumnRenamed("pieces", "__of_pieces").withColumnRenamed("key", "__of_key"), "chunk-texts")
+    bytes_of = _bytes_of(met.select(F.col(doc).alias("__doc"), F.col("__of_key").alias("__key"), F.col("__of_pieces").alias("__pieces"), "text"))
+    bytes_of = written(bytes_of, "chunk-bytes")
+    first = bytes_of.where("is_first").select("hash", F.col("bytes").alias("first_bytes")).dropDuplicates(["hash"])
+    unequal = bytes_of.where("not is_first").join(first, "hash").where("bytes <> first_bytes")
+    # equal hashes of unequal bytes: as good as none, so this join moves no texts
+    unequal = written(unequal.groupBy(F.col("doc").alias("u_doc"), F.col("key").alias("u_key")).agg(F.collect_set("start").alias("__unequal")), "chunk-unequal")
+    ready = met.join(unequal, met[doc].eqNullSafe(F.col("u_doc")) & (F.col("__of_key") == F.col("u_key")), "left")
+    ready = ready.select(*(F.col("text") if n == text else F.col(n) for n in names), "__of_pieces", "__unequal")
+    discard(spark, *scratch, bytes_of)
+    place, result = kept.columns.index("text"), [*kept.columns, *added]
 
     def removed(batches):
         for batch in batches:
-            texts, n_lines, n_words = unpacked(batch.column(names.index("text"))), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            new = {}
-            listed = batch.column(len(names))
-            for i in np.flatnonzero(np.asarray(listed.is_valid())):
-                ((_, data, offsets),) = blocks(texts.slice(i, 1))
-                _, a, b, words, _ = chunk_table(data, offsets, heavy, spread)
-                flat = listed[int(i)].values
-                repeated = dict(zip(flat.field("place").to_pylist(), flat.field("joined").to_pylist()))
-                start, end, _, per_line = _counted_lines(data, offsets)
-                gone, run = np.zeros(len(start), bool), []
-                for x in [*np.flatnonzero(words > 0).tolist(), None]:
-                    if run and not repeated.get(x, False):  # the run ends before x
-                        if words[run].sum() >= least_words:
-                            gone[(start >= a[run[0]]) & (end <= b[run[-1]])] = True  # with the blank lines inside
-                        run = []
-                    if x in repeated:
-                        run.append(x)
-                listed_windows = [x - len(a) for x in repeated if x >= len(a)]
-                if listed_windows:
-                    _, x, y, _, _, _ = window_table(data, offsets, heavy, least_words)
-                    for k in listed_windows:
-                        gone[np.searchsorted(start, x[k]) : np.searchsorted(end, y[k], "right")] = True
-                if gone.any():
-                    text = data.tobytes()
-                    new[int(i)] = b"\n".join(text[x:y] for x, y in zip(start[~gone], end[~gone]))
-                    n_words[i], n_lines[i] = per_line[gone].sum(), gone.sum()
-            columns, at = list(batch.columns[: len(names)]), names.index("text")
-            columns[at] = texts
+            texts, n_lines, n_words = unpacked(batch.column(place)), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            listed, unequal, new = batch.column(len(names)), batch.column(len(names) + 1), {}
+            for i in np.flatnonzero(np.asarray(listed.is_valid())).tolist():
+                wrong = set(unequal[i].as_py() or ())
+                spans = [(p["start"], p["stop"]) for p in listed[i].as_py() if not p["is_first"] and p["start"] not in wrong]
+                if spans:
+                    left, n_lines[i], n_words[i] = without(texts[i].as_py().encode(), spans)
+                    new[i] = left.decode()
+            columns = list(batch.columns[: len(names)])
+            columns[place] = texts
             if new:
                 mask = np.zeros(len(batch), bool)
                 mask[list(new)] = True
-                columns[at] = pa.compute.replace_with_mask(columns[at], pa.array(mask), pa.array([new[i].decode() for i in sorted(new)], columns[at].type))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_words)], [*names, *added])
+                columns[place] = pa.compute.replace_with_mask(texts, pa.array(mask), pa.array(list(new.values()), texts.type))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_words)], result)
 
-    return joined.mapInArrow(removed, extended(kept.schema, f"`{added[0]}` long, `{added[1]}` long"))
+    return ready.mapInArrow(removed, extended(kept.schema, f"`{added[0]}` long, `{added[1]}` long"))
 
 
 def op7_line_chunks(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from kinledger.llm import bytetext as b
-from kinledger.llm import decontaminate, extract, quality, toxicity
-from kinledger.llm.linechunks import chunk_table
+from kinledger.llm import decontaminate, extract, linechunks, quality, toxicity
 
 TEXTS = st.lists(st.none() | st.text(alphabet="aB9 \n\t.\u00e9\u4e2d#|<x", max_size=60), max_size=8)
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,10 +80,14 @@ def test_base_counts(texts):
 @given(st.text(alphabet="aB \n.", max_size=80), st.text(alphabet="aB \n.", max_size=30))
 def test_chunks_cover_texts(text, other):
     _, data, offsets = next(b.blocks(pa.array([other, text])))
-    row, start, end, words, _ = chunk_table(data, offsets, 3, 2)
-    raw = data.tobytes().decode()
-    assert "\n".join(raw[x:y] for r, x, y in zip(row, start, end) if r == 1) == text
+    start, end, row, words = linechunks._worded_lines(data, offsets)
+    low, high = linechunks.chunk_lines(data, start, end, row, 2)
+    assert [i for a, z in zip(low, high) for i in range(a, z + 1)] == list(range(len(row))) and (row[low] == row[high]).all()
     assert words[row == 1].sum() == len(SPACE.findall(text))
+    raw = data.tobytes()
+    for r, x, y, a, z, _ in zip(*linechunks.pieces(data, offsets, 2, 1, 3)):
+        mine = raw[offsets[r] + a : offsets[r] + z].decode()
+        assert [k for k in mine.split("\n") if SPACE.search(k)] == [k for k in (other, text)[r].split("\n") if SPACE.search(k)][x : y + 1]
 
 
 def test_hits_map_to_the_original():
