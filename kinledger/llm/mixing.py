@@ -1,21 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target over its size is how often its documents are taken: everything up to the
-whole number below is taken as certain copies, and the rest, between 0 and 1, is a
-document's inclusion probability for one more copy. With a random u from the document's
-hash, a document ranks by the odds of u over the odds of its inclusion probability, and
-documents are taken in that order until the source's remaining words are used up: a
-sample whose size in words is fixed, not merely expected.
-
-The order is found without sorting a source in one task: a document's rank value falls into
-one of many equal bins, the words of each bin are summed, and only the bin in which the
-source's remainder runs out is ordered row by row. There are as many bins as the
-root of the largest source's count of documents, and about as many documents in a bin, so
-neither the running sum over bins nor the order within one outgrows a task.
-
-Null text has size 0; null source is a source, last in order. A size of 0 is never taken
-again. Repeated rows rank together: rows with one doc_id, source and size are one block,
-taken whole or not at all.
+A source's target over its size is how often its words are taken. Whole copies up to that
+number are certain for each of its documents. For the rest a document's inclusion
+probability is proportional to its size: ``theta * size``, and one certain copy more where that
+passes 1, with theta such that the expected words are those that the source has left. With a
+random u from the document's hash, documents rank by the odds of u over the odds of their
+inclusion probability and are taken in that order until the words are used up: a sample of
+unequal probabilities whose size in words is fixed, not merely expected.
+
+Theta follows from the number of documents of each size, and the order is found without
+sorting a source in one task: a document's rank value falls into one of many equal bins, the
+words of each bin are summed, and only the bin in which the source's words run out is ordered
+row by row. That bin lies where the odds are equal, away from the ends at which ranks crowd;
+there are as many bins as the root of the largest source's count of documents.
+
+u comes from the hash of doc_id and text, so rows without a doc_id have their own unless the
+text is the same too. Rows that repeat both have one rank; where the words run out among
+them, as many of them are taken as fit, whichever these are. Null text has size 0; null source is
+a source, last in order. A size of 0 has no words to take and is never drawn.
 """
 
 from __future__ import annotations
@@ -61,15 +63,39 @@ def targets(sizes: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, most: fl
     return by.select("source", "source_size", "docs", F.least(bound, F.coalesce(F.col("level") * F.col("weight"), bound)).alias("target"))
 
 
-def rank_of(doc_id, size, inclusion) -> F.Column:
+def uniform(doc_id: F.Column, text: F.Column, seed: str = SEED) -> F.Column:
+    """A number between 0 and 1 from the hash of seed, doc_id and text."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def rank_of(u: F.Column, inclusion: F.Column) -> F.Column:
     """u's odds over the inclusion's odds, brought to 0..1 by x / (1 + x)."""
-    digest = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")), size.cast("string")).cast("binary"))
-    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
     x = u * (1 - inclusion)
     return x / (x + (1 - u) * inclusion)
 
 
-def mix(documents: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
+def plans(sized: DataFrame, by: DataFrame) -> DataFrame:
+    """Each source's source_size, target, __copies (certain for all), __cut (larger documents have one more),
+    __theta (inclusion probability per word of the others) and __left (words that these get)."""
+    classes = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    n, size = F.col("n").cast("decimal(12,0)"), F.col("size").cast("decimal(9,0)")
+    # as many rows as sizes that occur, whatever the number of documents
+    down = Window.partitionBy("source").orderBy(F.col("size").desc())
+    larger = F.coalesce(F.sum(n * size).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    squares = F.sum(n * (size * size)).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    some = F.col("source_size") > 0
+    by = by.withColumn("copies", F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    by = by.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")).select(F.col("source").alias("of"), "source_size", "target", "copies", "rest")
+    solved = classes.withColumn("larger", larger).withColumn("squares", squares)
+    solved = solved.join(by.select("of", "rest"), solved.source.eqNullSafe(F.col("of"))).withColumn("theta", (F.col("rest") - F.col("larger")) / F.col("squares"))
+    # the largest size whose inclusion isn't above 1, given that all larger ones are certain
+    solved = solved.where(F.col("theta") * F.col("size") <= 1).groupBy(F.col("source").alias("__of")).agg(F.max_by(F.struct("theta", "larger", "size"), "size").alias("s"))
+    joined = by.join(solved, F.col("of").eqNullSafe(F.col("__of")), "left")
+    return joined.select(F.col("of").alias("__source"), "source_size", "target", F.col("copies").alias("__copies"), F.col("s.size").alias("__cut"), F.col("s.theta").alias("__theta"), (F.col("rest") - F.col("s.larger")).alias("__left"))
+
+
+def mix(documents: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, seed: str = SEED) -> DataFrame:
     """``documents`` with size, source_size, target, copies (how often the mix holds the row) and
     taken (copies times size); columns of these names are replaced.
 
@@ -77,47 +103,58 @@ def mix(documents: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, most: fl
     document that it draws. Both are a row a source, so ``documents`` meets them where it
     lies and isn't shuffled.
     """
-    sized = written(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    spark = documents.sparkSession
+    sized = written(documents.select("source", n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("__u")), "mix-sizes")
     by = written(targets(sized, weights=weights, total=total, most=most), "mix-targets")
     bins = max(LEAST_BINS, math.isqrt(by.agg(F.max("docs")).first()[0] or 0))
-    some = F.col("source_size") > 0
-    plan = by.withColumn("certain", F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    plan = plan.withColumn("remainder", F.col("target") - F.col("certain") * F.col("source_size"))
-    plan = plan.withColumn("inclusion", F.when(some, F.col("remainder") / F.col("source_size")).otherwise(0.0))
-    plan = plan.select("source_size", "target", *(F.col(c).alias(f"__{c}") for c in ("source", "certain", "remainder", "inclusion")))
-    ranked = _ranked(sized, plan, bins)
+    plan = written(plans(sized, by), "mix-plans")
+    ranked = _ranked(sized, plan, bins).where("__rank is not null")
 
-    words = ranked.where("__rank is not null").groupBy("__source", "__bin").agg(F.sum("size").alias("words"), F.min("__remainder").alias("remainder"))
+    words = ranked.groupBy("__source", "__bin").agg(F.sum("size").alias("words"), F.min("__left").alias("left"))
     words = words.withColumn("upto", F.sum("words").over(Window.partitionBy("__source").orderBy("__bin"))).withColumn("before", F.col("upto") - F.col("words"))
-    # the first bin at whose end the words exceed the remainder
-    edges = words.where(F.col("upto") > F.col("remainder")).groupBy(F.col("__source").alias("__of")).agg(F.min("__bin").alias("__edge"), F.min_by("before", "__bin").alias("before"))
+    # the first bin at whose end the words exceed what is left
+    edges = words.where(F.col("upto") > F.col("left")).groupBy(F.col("__source").alias("__of")).agg(F.min("__bin").alias("__edge"), F.min_by("before", "__bin").alias("before"))
     edges = written(edges, "mix-edges")
-    # in it, rows that repeat have one rank: a range frame keeps them together
     inside = ranked.join(edges, F.col("__source").eqNullSafe(F.col("__of"))).where(F.col("__bin") == F.col("__edge"))
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("__of", "__bin").orderBy("__rank"))
-    block = F.sum("size").over(Window.partitionBy("__of", "__bin", "__rank"))
-    # the row at which the words run out is taken if that comes nearer to the target
-    last = F.max(F.when(F.col("upto") - F.col("block") / 2.0 <= F.col("__remainder"), F.col("__rank"))).alias("__last")
-    ends = written(inside.withColumn("upto", upto).withColumn("block", block).groupBy("__of", "__edge").agg(last), "mix-ends")
+    ranks = inside.groupBy("__of", "__edge", "__rank").agg(F.sum("size").alias("block"), F.count("*").alias("n"), F.min("before").alias("before"), F.min("__left").alias("left"))
+    upto = F.col("before") + F.sum("block").over(Window.partitionBy("__of").orderBy("__rank"))
+    ranks = ranks.withColumn("upto", upto).where(F.col("upto") > F.col("left"))
+    # of the rank at which the words run out, as many rows as come nearest
+    fit = F.floor((F.col("left") - (F.col("upto") - F.col("block"))) / (F.col("block") / F.col("n")) + F.lit(0.5))
+    last = ranks.withColumn("fit", F.greatest(F.lit(0), F.least(fit, F.col("n"))).cast("long"))
+    ends = written(last.groupBy("__of", "__edge").agg(F.min("__rank").alias("__last"), F.min_by("fit", "__rank").alias("__fit"), F.min_by("n", "__rank").alias("__n")), "mix-ends")
 
     carried = documents.drop("size", "source_size", "target", "copies", "taken")
-    rows = _ranked(carried.withColumn("size", n_words(F.col("text"))), plan, bins)
+    rows = _ranked(carried.select("*", n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("__u")), plan, bins)
     rows = rows.join(ends, F.col("__source").eqNullSafe(F.col("__of")), "left")
-    drawn = F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge")) | (F.col("__bin") == F.col("__edge")) & (F.col("__rank") <= F.col("__last"))
-    copies = F.col("__certain") + F.when(F.col("__bin").isNotNull() & drawn, 1).otherwise(0)
-    return rows.select(*carried.columns, "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    at_end = F.col("__rank") == F.col("__last")
+    drawn = F.col("__of").isNull() | (F.col("__rank") < F.col("__last")) | at_end & (F.col("__fit") > 0)
+    more = F.when(F.col("size") > F.col("__cut"), 1).when(F.col("__rank").isNotNull() & drawn, 1).otherwise(0)
+    copies = F.coalesce("__copies", F.lit(0)) + more
+    out = [*carried.columns, "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")]
+    if ends.where("__fit between 1 and __n - 1").isEmpty():
+        return rows.select(*out)
+    split = F.coalesce(at_end & F.col("__fit").between(F.lit(1), F.col("__n") - 1), F.lit(False))
+    return rows.where(~split).select(*out).unionByName(_first_of(rows.where(split)).select(*out))
+
+
+def _first_of(tied: DataFrame) -> DataFrame:
+    """Rows of one rank a source, numbered task by task: those after the first __fit lose __fit."""
+    tied = written(tied.withColumn("__at", F.monotonically_increasing_id()), "mix-tied").withColumn("__task", F.shiftright("__at", 33))
+    tasks = tied.groupBy(F.col("__source").alias("__s"), F.col("__task").alias("__t")).agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy("__s").orderBy("__t")) - F.col("__rows")
+    tasks = tasks.withColumn("__before", before)
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__source", "__task").orderBy("__at"))
+    met = tied.join(tasks, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__task") == F.col("__t")))
+    return met.withColumn("__fit", F.when(place <= F.col("__fit"), F.col("__fit")).otherwise(0))
 
 
 def _ranked(rows: DataFrame, plan: DataFrame, bins: int) -> DataFrame:
-    """``rows`` (doc_id, source, size, ...) with their source's plan, __rank and __bin, null where
-    nothing is drawn. The bin is that of u, which the rank's odds give back: equal bins then
-    hold about equally many rows, whatever the inclusion probability."""
+    """``rows`` (source, size, __u, ...) with their source's plan, __rank and __bin, null where nothing is drawn."""
     ranked = rows.join(plan, rows.source.eqNullSafe(plan["__source"]))
-    p = F.col("__inclusion")
-    ranked = ranked.withColumn("__rank", F.when(p > 0, rank_of(F.col("doc_id"), F.col("size"), p)))
-    r = F.col("__rank")
-    u = r * p / (r * p + (1 - r) * (1 - p))
-    return ranked.withColumn("__bin", F.when(r.isNotNull(), F.least(F.floor(u * bins), F.lit(bins - 1))).cast("long"))
+    p = F.least(F.lit(1.0), F.col("__theta") * F.col("size"))
+    ranked = ranked.withColumn("__rank", F.when((p > 0) & (F.col("size") <= F.col("__cut")), rank_of(F.col("__u"), p)))
+    return ranked.withColumn("__bin", F.least(F.floor(F.col("__rank") * bins), F.lit(bins - 1)).cast("long"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -144,15 +181,30 @@ level AS (SELECT arg_min(level, (source_size / weight, level)) AS level FROM lev
 plan AS (
   SELECT w.source, source_size, least(CAST(2 AS DOUBLE) * source_size, coalesce(l.level * weight, CAST(2 AS DOUBLE) * source_size)) AS target
   FROM weighed w, level l),
-parts AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS certain FROM plan),
-odds AS (SELECT *, target - certain * source_size AS remainder,
-  CASE WHEN source_size > 0 THEN (target - certain * source_size) / source_size ELSE 0 END AS inclusion FROM parts),
-drawn AS (
-  SELECT s.doc_id, s.source, s.size, o.source_size, o.target, o.certain, o.remainder, o.inclusion,
-    (CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR)), 1, 12)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u
-  FROM sized s JOIN odds o ON s.source IS NOT DISTINCT FROM o.source),
+parts AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM plan),
+rests AS (SELECT *, target - copies * source_size AS rest FROM parts),
+class AS (SELECT source, size, CAST(count(*) AS HUGEINT) AS n FROM sized WHERE size > 0 GROUP BY source, size),
 summed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u) AS upto, sum(size) OVER (PARTITION BY source, u) AS block FROM drawn),
-taken AS (SELECT *, CASE WHEN inclusion > 0 AND upto - block / CAST(2 AS DOUBLE) <= remainder THEN 1 ELSE 0 END AS more FROM summed)
-SELECT doc_id, size, source_size, target, CAST((certain + more) * size AS BIGINT) AS taken FROM taken
+  SELECT source, size, CAST(coalesce(sum(n * size) OVER (d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS larger,
+    CAST(sum(n * size * size) OVER (d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS squares
+  FROM class WINDOW d AS (PARTITION BY source ORDER BY size DESC)),
+solved AS (
+  SELECT r.source, s.size AS cut, (rest - larger) / squares AS theta, larger FROM summed s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
+  WHERE (rest - larger) / squares * s.size <= 1
+  QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY s.size DESC) = 1),
+hashed AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM documents),
+included AS (
+  SELECT h.doc_id, h.source, h.size, h.u, r.source_size, r.target, r.copies, v.cut, r.rest - v.larger AS rest, least(CAST(1 AS DOUBLE), v.theta * h.size) AS p
+  FROM hashed h JOIN rests r ON h.source IS NOT DISTINCT FROM r.source LEFT JOIN solved v ON h.source IS NOT DISTINCT FROM v.source),
+ranked AS (SELECT *, CASE WHEN p > 0 AND size <= cut THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS rank FROM included),
+queued AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank) AS upto, sum(size) OVER (PARTITION BY source, rank) AS block,
+    row_number() OVER (PARTITION BY source, rank ORDER BY doc_id) AS place FROM ranked),
+taken AS (
+  SELECT *, CASE WHEN size > cut THEN 1 WHEN rank IS NULL THEN 0
+    WHEN upto <= rest OR upto - block <= rest AND place <= floor((rest - (upto - block)) / size + CAST(0.5 AS DOUBLE)) THEN 1 ELSE 0 END AS more FROM queued)
+SELECT doc_id, size, source_size, target, CAST((copies + more) * size AS BIGINT) AS taken FROM taken
 """

@@ -214,3 +214,60 @@ def test_mixing_meets_targets(spark):
         assert v[0].target <= 2 * v[0].source_size + 1e-6
     again = {(r.doc_id, r.taken) for r in mixing.mix(df.repartition(7)).collect()}
     assert again == {(r.doc_id, r.taken) for r in out}
+
+
+def _by_hand(rows, odds=True):
+    """Which rows of one source (id, words, target) get one copy more, in exact order; and their inclusion probabilities."""
+    import hashlib
+
+    size = {i: len(t.split()) for i, t in rows}
+    rest, cut = 0.4 * sum(size.values()), sorted(size.values(), reverse=True)
+    for c in sorted(set(cut), reverse=True):
+        larger = sum(s for s in cut if s > c)
+        theta = (rest - larger) / sum(s * s for s in cut if s <= c)
+        if theta * c <= 1:
+            break
+    p = {i: 1.0 if s > c else theta * s for i, s in size.items()}
+    u = {i: (int(hashlib.md5(f"mix-1:{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, t in rows}
+    certain = {i for i in size if size[i] > c}
+    order = sorted((i for i in size if i not in certain and size[i]), key=lambda i: u[i] / (1 - u[i]) / (p[i] / (1 - p[i]) if odds and p[i] < 1 else 1))
+    left, taken = rest - larger, set()
+    for i in order:
+        if left < size[i] / 2:
+            break
+        taken.add(i)
+        left -= size[i]
+    return certain | taken, p
+
+
+def test_pareto_odds_decide(spark):
+    rng = random.Random(31)
+    rows = [(i, " ".join("w" * min(int(rng.paretovariate(0.9)) + rng.randint(0, 3), 400))) for i in range(3000)]
+    df = spark.createDataFrame([(i, "s", t) for i, t in rows], "doc_id long, source string, text string")
+    got = {r.doc_id for r in mixing.mix(df, total=1.4, most=2.0).where("copies = 2").collect()}
+    want, p = _by_hand(rows)
+    assert got == want
+    equal, _ = _by_hand(rows, odds=False)
+    assert len(got ^ equal) > 100
+    # over many seeds a document is drawn about as often as its probability says
+    drawn, seeds = defaultdict(int), 5
+    for k in range(seeds):
+        for r in mixing.mix(df, total=1.4, seed=f"seed {k}").where("copies = 2").select("doc_id").collect():
+            drawn[r.doc_id] += 1
+    groups = defaultdict(list)
+    for i, x in p.items():
+        groups[min(int(x * 8), 7)].append(i)
+    for ids in groups.values():
+        if len(ids) >= 20:
+            n, want = seeds * len(ids), sum(p[i] for i in ids) / len(ids)
+            assert abs(sum(drawn[i] for i in ids) / n - want) < 4 * (want * (1 - want) / n) ** 0.5 + 0.01
+
+
+def test_repeated_rows_meet_their_target(spark):
+    words = lambda k: " ".join("w" * k)
+    rows = [(None, "a", words(20)) for _ in range(400)] + [(None, "b", words(20) + f" {i}") for i in range(400)] + [(7, None, words(30))] * 50
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)).collect()
+    assert len(out) == len(rows)
+    for source in ("a", "b", None):
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 31 and all(r.taken <= 2 * r["size"] for r in mine)
