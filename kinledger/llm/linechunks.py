@@ -240,13 +240,14 @@ def dedup_lines(documents: DataFrame, *, spread: int = SPREAD, chunk_words: int
     met = written(met.withColumnRenamed("pieces", "__of_pieces").withColumnRenamed("key", "__of_key"), "chunk-texts")
     bytes_of = _bytes_of(met.select(F.col(doc).alias("__doc"), F.col("__of_key").alias("__key"), F.col("__of_pieces").alias("__pieces"), "text"))
     bytes_of = written(bytes_of, "chunk-bytes")
-    first = bytes_of.where("is_first").select("hash", F.col("bytes").alias("first_bytes")).dropDuplicates(["hash"])
+    # written too: a passage that very many documents hold is one key, which only plain exchanges let Spark split
+    first = written(bytes_of.where("is_first").select("hash", F.col("bytes").alias("first_bytes")).dropDuplicates(["hash"]), "chunk-first-bytes")
     unequal = bytes_of.where("not is_first").join(first, "hash").where("bytes <> first_bytes")
     # equal hashes of unequal bytes: as good as none, so this join moves no texts
     unequal = written(unequal.groupBy(F.col("doc").alias("u_doc"), F.col("key").alias("u_key")).agg(F.collect_set("start").alias("__unequal")), "chunk-unequal")
     ready = met.join(unequal, met[doc].eqNullSafe(F.col("u_doc")) & (F.col("__of_key") == F.col("u_key")), "left")
     ready = ready.select(*(F.col("text") if n == text else F.col(n) for n in names), "__of_pieces", "__unequal")
-    discard(spark, *scratch, bytes_of)
+    discard(spark, *scratch, bytes_of, first)
     place, result = kept.columns.index("text"), [*kept.columns, *added]
 
     def removed(batches):
