@@ -53,9 +53,9 @@ def targets(sizes: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, most: fl
     w = F.element_at(F.array(*map(F.lit, weights)), ((place - 1) % len(weights) + 1).cast("int"))
     by = by.withColumn("weight", w.cast("long"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     left = F.lit(total) * F.sum("source_size").over(everything) - F.lit(most) * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    by = by.withColumn("level", left / F.sum("weight").over(rest))
+    by = by.withColumn("level", left / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
     by = by.withColumn("fits", F.lit(most) * F.col("source_size") > F.col("level") * F.col("weight"))
     # the level of the first source that stays below its bound holds for it and all after it
     by = by.withColumn("level", F.min(F.when(F.col("fits"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(everything)["level"])
@@ -83,7 +83,9 @@ def plans(sized: DataFrame, by: DataFrame) -> DataFrame:
     # as many rows as sizes that occur, whatever the number of documents
     down = Window.partitionBy("source").orderBy(F.col("size").desc())
     larger = F.coalesce(F.sum(n * size).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
-    squares = F.sum(n * (size * size)).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    # sums of all, less the running sum: a frame to the end would be summed anew at each row
+    up_to = F.coalesce(F.sum(n * (size * size)).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    squares = (F.sum(n * (size * size)).over(Window.partitionBy("source")) - up_to).cast("double")
     some = F.col("source_size") > 0
     by = by.withColumn("copies", F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     by = by.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")).select(F.col("source").alias("of"), "source_size", "target", "copies", "rest")
