@@ -90,6 +90,30 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, rows
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point (its UTF-8 bytes, the first lowest; ASCII is itself), and the rows' offsets
+    in code points. Bytes that are no UTF-8 count with what stands before them in their row."""
+    opens = CODE_POINT[data]
+    opens[offsets[:-1][offsets[:-1] < len(data)]] = True
+    start = np.flatnonzero(opens)
+    size = np.diff(np.append(start, len(data)))
+    out = data[start].astype(np.uint64)
+    for k in range(1, 4):
+        more = size > k
+        out[more] |= data[start[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    return out, np.searchsorted(start, offsets)
+
+
+def fewest(rows: np.ndarray, values: np.ndarray, most: int) -> np.ndarray:
+    """Indexes of at most ``most`` values of each row (sorted by row), those whose hash is least."""
+    count = np.bincount(rows) if len(rows) else np.zeros(0, np.int64)
+    if not len(count) or count.max() <= most:
+        return np.arange(len(rows))
+    order = np.lexsort((mix(values.astype(np.uint64)), rows))
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return np.sort(order[place < most])
+
+
 def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         n = max(n, BLOCK_BYTES + 1)

@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings, averaged, into a linear softmax.
 
-A text's feature bag holds the byte n-grams of its words (A-Z in lower case, a space
+A text's feature bag holds the character n-grams of its words (A-Z in lower case, a space
 before and after each word), each with a learned embedding. The text's vector is their
 mean, and a two-class softmax reads it; embeddings and softmax are trained together in
 numpy. An unseen misspelling shares most n-grams with what it was made from.
@@ -9,7 +9,13 @@ The mean and the softmax are both linear, so scoring needs one number per n-gram
 embedding's product with the difference of the two class vectors. ``ToxicityModel`` keeps
 that vector, 512 KB, and texts are scored where they lie, without a shuffle.
 
-Null and empty texts have an empty bag: their score is the softmax of the bias alone.
+What a fit holds in the driver is bounded: ``most`` labelled doc_ids, one text for each (of several the
+least), and of a text at most ``buckets`` of its n-grams, those whose hash is least. Scores
+read whole texts.
+
+Null and empty texts have an empty bag: their score is the softmax of the bias alone. Very long texts
+are scored one at a time. Rows that repeat a document are scored alike; other columns are
+carried along, and one with the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import ALNUM, BYTE_VALUES, LOWER, blocks, counted, row_sums
+from .bytetext import ALNUM, LOWER, blocks, code_points, counted, fewest, mix, row_sums
 from .common import extended, table
 
 #: n-grams fall into 2 ** BITS buckets.
@@ -32,8 +38,12 @@ DIMENSIONS = 8
 #: Most labelled rows that a fit reads, those whose doc_id hashes lowest; a documented bound.
 TRAIN_ROWS = 4000
 THRESHOLD = 0.3
-#: A bucket in fewer of the sampled texts than this share has no weight: too rare to learn from.
-LEAST_SHARE = 0.005
+#: Most distinct n-grams that a fit reads of one text.
+TRAIN_BUCKETS = 8192
+#: An n-gram of fewer sampled texts than this has no weight: one text alone tells nothing of others.
+LEAST_TEXTS = 2
+#: How much an embedding shrinks at each step, times the rate: rare n-grams stay small unless they help.
+DECAY = 0.02
 #: Texts of a mini-batch.
 BATCH = 256
 
@@ -45,11 +55,14 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     """For each order, the buckets by position, a mark of the positions that count, and the
     rows' offsets. An n-gram stands inside one word or takes the space beside it."""
     rows = len(offsets) - 1
-    padded = np.full(len(data) + 2 * rows, 32, np.uint8)
+    points, offsets = code_points(data, offsets)
+    ascii_ = points < 128
+    points[ascii_] = _FOLD[points[ascii_].astype(np.uint8)]
+    padded = np.full(len(points) + 2 * rows, 32, np.uint64)
     shift = np.repeat(np.arange(rows) * 2 + 1, np.diff(offsets))
-    padded[np.arange(len(data)) + shift] = _FOLD[data]
+    padded[np.arange(len(points)) + shift] = points
     at = offsets + 2 * np.arange(rows + 1)
-    values = BYTE_VALUES[padded]
+    values = mix(padded)
     gaps = np.zeros(len(padded) + 1, np.int32)
     np.cumsum(padded == 32, out=gaps[1:])
     for n in ORDERS:
@@ -86,12 +99,14 @@ class ToxicityModel:
         return out
 
 
-def bags(column: pa.Array) -> pa.Array:
-    """The n-gram counts of each text, as a list of structs (bucket, n)."""
+def bags(column: pa.Array, most: int = TRAIN_BUCKETS) -> pa.Array:
+    """The n-gram counts of each text, as a list of at most ``most`` structs (bucket, n)."""
     sizes, buckets, counts = [], [], []
     for _, data, offsets in blocks(column):
         found = [(np.searchsorted(at, np.flatnonzero(ok), "right") - 1, bucket[ok]) for bucket, ok, at in ngrams(data, offsets)]
         rows, values, n = counted(*(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found))) if found else (np.zeros(0, np.int64),) * 3
+        at = fewest(rows, values, most)
+        rows, values, n = rows[at], values[at], n[at]
         sizes.append(np.bincount(rows, minlength=len(offsets) - 1))
         buckets.append(values)
         counts.append(n)
@@ -114,7 +129,7 @@ def train(sizes: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.
         return ToxicityModel(np.zeros(1 << BITS), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    common = np.bincount(buckets, minlength=1 << BITS) >= LEAST_SHARE * n_texts
+    common = np.bincount(buckets, minlength=1 << BITS) >= LEAST_TEXTS
     share = counts.astype(np.float32)
     for a, z in zip(ends[:-1], ends[1:]):
         share[a:z] /= max(share[a:z].sum(), 1)
@@ -146,6 +161,7 @@ def train(sizes: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.
             v *= 0.999
             v += 0.001 * gradient**2
             value -= (pace * m / (np.sqrt(v) + 1e-5)).astype(value.dtype)
+        embeddings *= 1 - DECAY * rate * (1 - (step - 1) / steps)
     difference = classes[:, 1] - classes[:, 0]
     return ToxicityModel(np.where(common, embeddings @ difference, 0).astype(np.float32), float(bias[1] - bias[0]))
 
@@ -161,22 +177,25 @@ def sample_of(labels: DataFrame, label: str, most: int) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS) -> ToxicityModel:
-    """Learn from at most ``most`` labelled rows outside the held-out quarter.
+def sampled(documents: DataFrame, sample: DataFrame) -> DataFrame:
+    """``sample`` (doc_id, ...) with text: of a doc_id's texts the least. The sample is few ids by its bound, so it
+    is broadcast, and no other documents are shuffled."""
+    others = [F.first(c).alias(c) for c in sample.columns if c != "doc_id"]
+    return documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(*others, F.min("text").alias("text"))
 
-    The sample's ids are few by that bound, so they are broadcast to the documents; the
-    documents aren't shuffled, and only n-gram counts of sampled texts come to the driver.
-    """
-    sample = sample_of(labels.where(~held_out(F.col("doc_id"))), "toxic", most)
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+
+def fit(documents: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS, buckets: int = TRAIN_BUCKETS) -> ToxicityModel:
+    """Learn from at most ``most`` labelled rows outside the held-out quarter, and ``buckets`` n-grams of each."""
+    texts = sampled(documents, sample_of(labels.where(~held_out(F.col("doc_id"))), "toxic", most))
 
     def bag(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], bags(batch["text"])], ["doc_id", "toxic", "bag"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], bags(batch["text"], buckets)], ["doc_id", "toxic", "bag"])
 
-    found = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(bag, "doc_id long, toxic int, bag array<struct<bucket: int, n: int>>").toArrow()
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    found = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(bag, f"doc_id {kind}, toxic int, bag array<struct<bucket: int, n: int>>").toArrow()
     # the same order of texts at each run; the bags are copied once, as numbers
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    order = pa.compute.sort_indices(found["doc_id"]).to_numpy()
     toxic = (found["toxic"].to_numpy()[order] > 0).astype(float)
     bags_of = [chunk for chunk in found["bag"].chunks]
     del found
@@ -184,8 +203,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS) -> T
     sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(b.offsets.to_numpy()) for b in bags_of)])
     ends = np.concatenate([[0], np.cumsum(sizes)])
     where = np.concatenate([np.zeros(0, np.int32), *(np.arange(ends[i], ends[i + 1], dtype=np.int32) for i in order)])
-    buckets, counts = (np.concatenate([np.zeros(0, np.int32), *(x.field(name).to_numpy() for x in lists)])[where] for name in ("bucket", "n"))
-    return train(sizes[order], buckets, counts, toxic)
+    values, counts = (np.concatenate([np.zeros(0, np.int32), *(x.field(name).to_numpy() for x in lists)])[where] for name in ("bucket", "n"))
+    return train(sizes[order], values, counts, toxic)
 
 
 def score(documents: DataFrame, model: ToxicityModel, *, column: str = "toxicity") -> DataFrame:
