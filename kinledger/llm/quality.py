@@ -1,12 +1,16 @@
 """Quality rules: fixed base rules, then a calibrated logistic regression.
 
-The regression reads hashed word n-grams (orders 1 and 2) and byte n-grams (orders 2 and 4)
+The regression reads hashed word n-grams (orders 1 and 2) and character n-grams (orders 2 and 4)
 of the whole text, each kind as shares of its own total, and is fitted in numpy on labelled
 rows. A second fold of labels calibrates its output to a probability, which is compared
-with a fixed threshold. Base counts and scores come from one pass in Arrow batches, without
-a shuffle.
+with a fixed threshold; a third (``held_out``) is read by neither, so that the verdicts can be
+measured on it. Base counts and scores come from one pass in Arrow batches, without a shuffle.
 
-Null text has no words: all counts 0, base_failed true, kept false. The empty text likewise.
+What a fit holds in the driver is bounded as for toxicity: labelled ids, one text for each, and
+n-grams of a text, of which those with the least hashes stand for all.
+
+Null text has no words: all counts 0, base_failed true, kept false. The empty text likewise. Very long
+texts are judged one at a time. Rows that repeat a document are judged alike.
 """
 
 from __future__ import annotations
@@ -18,19 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import BYTE_VALUES, CODE_POINT, NOT_SPACE, blocks, counted, lines, mix, row_sums, span_hashes, spans, windows
+from .bytetext import CODE_POINT, NOT_SPACE, blocks, code_points, counted, fewest, lines, mix, row_sums, span_hashes, spans, windows
 from .common import table
+from .toxicity import held_out, sampled
 
 BITS = 16
 #: Most labelled rows that a fit reads, those whose doc_id hashes lowest; a documented bound.
 TRAIN_ROWS = 4000
+#: Most distinct n-grams that a fit reads of one text.
+TRAIN_BUCKETS = 8192
 #: Kept if the calibrated probability of quality 1 is at least this.
 THRESHOLD = 0.5
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_BYTE_ORDERS = (2, 4)
+_CHARACTER_ORDERS = (2, 4)
 KINDS = 4
 #: Shares are small numbers; times this, one learning rate suits all.
 SCALE = 50.0
@@ -67,10 +74,11 @@ def features(data, offsets, rows, words):
     for kind, n in enumerate((1, 2)):
         at, h = (np.arange(len(words)), words) if n == 1 else windows(words, rows, n)
         yield (mix(h) >> np.uint64(64 - BITS)).astype(np.int64) + (kind << BITS), rows[at]
-    values = BYTE_VALUES[data]
+    points, offsets = code_points(data, offsets)
+    values = mix(points)
     row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for kind, n in enumerate(_BYTE_ORDERS, 2):
-        m = max(len(data) - n + 1, 0)
+    for kind, n in enumerate(_CHARACTER_ORDERS, 2):
+        m = max(len(points) - n + 1, 0)
         h = np.zeros(m, np.uint64)
         for i in range(n):
             h += values[i : i + m] * _FACTORS[i]
@@ -104,8 +112,8 @@ def words_of(data, offsets):
     return starts, ends, rows, span_hashes(data, starts, ends)
 
 
-def bags(column: pa.Array) -> pa.Array:
-    """Each text's buckets with their share of their kind."""
+def bags(column: pa.Array, most: int = TRAIN_BUCKETS) -> pa.Array:
+    """At most ``most`` of each text's buckets with their share of their kind, which is raised by as much as is left out."""
     sizes, buckets, shares = [], [], []
     for _, data, offsets in blocks(column):
         _, _, rows, words = words_of(data, offsets)
@@ -114,9 +122,12 @@ def bags(column: pa.Array) -> pa.Array:
         kind = bucket >> BITS
         total = np.bincount(row * KINDS + kind, n, (len(offsets) - 1) * KINDS)
         order = np.argsort(row, kind="stable")
-        sizes.append(np.bincount(row, minlength=len(offsets) - 1))
-        buckets.append(bucket[order])
-        shares.append((n / total[row * KINDS + kind])[order])
+        row, bucket, share = row[order], bucket[order], (n / total[row * KINDS + kind])[order]
+        at = fewest(row, bucket, most)
+        all_of, size = np.bincount(row, minlength=len(offsets) - 1), np.bincount(row[at], minlength=len(offsets) - 1)
+        sizes.append(size)
+        buckets.append(bucket[at])
+        shares.append(share[at] * (all_of / np.maximum(size, 1))[row[at]])
     ends = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))]).astype(np.int32)
     bucket, share = np.concatenate([*buckets, np.zeros(0)]).astype(np.int32), np.concatenate([*shares, np.zeros(0)]).astype(np.float32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(bucket), pa.array(share)], ["bucket", "share"]))
@@ -162,22 +173,19 @@ def train(sizes, buckets, shares, good, calibrate, *, steps: int = 120, rate: fl
     return model
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS) -> QualityModel:
-    """Learn from at most ``most`` labelled rows; a quarter of them, by crc32 of the doc_id, calibrates.
-
-    Only the sample's ids are broadcast and only n-gram shares of sampled texts come to the
-    driver: both are bounded by ``most`` and by the number of buckets.
-    """
-    labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+def fit(documents: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS, buckets: int = TRAIN_BUCKETS) -> QualityModel:
+    """Learn from at most ``most`` labelled rows and ``buckets`` n-grams of each; by crc32 of the doc_id a quarter of
+    all labelled rows calibrates, and another isn't read."""
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     sample = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = sampled(documents, sample)
 
     def bag(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], batch["calibrate"], bags(batch["text"])], ["doc_id", "quality", "calibrate", "bag"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], batch["calibrate"], bags(batch["text"], buckets)], ["doc_id", "quality", "calibrate", "bag"])
 
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 3
-    found = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), fold.alias("calibrate"), "text").mapInArrow(bag, "doc_id long, quality int, calibrate boolean, bag array<struct<bucket: int, share: float>>").toArrow().combine_chunks().sort_by("doc_id")
+    found = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), fold.alias("calibrate"), "text").mapInArrow(bag, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, quality int, calibrate boolean, bag array<struct<bucket: int, share: float>>").toArrow().combine_chunks().sort_by("doc_id")
     if not found.num_rows:
         return train(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, bool))
     lists = found["bag"].combine_chunks()
