@@ -5,9 +5,10 @@ normalised text is its words with one space between. The automaton holds each wi
 ``n`` consecutive words of an item (a shorter item is one window) with a space at both
 ends, and reads each normalised text once; word numbers map hits to the original bytes.
 
-The benchmark is a stated set of items against all documents: its windows are counted
-first, and what exceeds ``block_windows`` is dealt to several automata, broadcast and used
-one after another, so that no automaton outgrows a worker. Documents aren't shuffled.
+The benchmark is a stated set of items against all documents: its windows are cut and counted
+first, and what exceeds ``block_windows`` is dealt to several automata. Driver and workers hold one
+automaton at a time: each block is a pass over the documents, whose result is written and read by
+the next, so the broadcast is bounded by ``block_windows``. Documents aren't shuffled.
 
 Null and empty texts have no words. An item without words has no window. An item's id that
 is null counts as the text ``null``; rows with the same id and several texts are one item.
@@ -18,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, LOWER
-from .common import extended, table
+from .common import discard, extended, table, written
 
 WORDS = 10
 #: Windows in one automaton, about 200 bytes each.
@@ -63,7 +63,7 @@ def item_windows(items: DataFrame, n: int = WORDS) -> DataFrame:
 
 def automata(items: DataFrame, n: int = WORDS, block_windows: int = BLOCK_WINDOWS) -> Iterator[ahocorasick.Automaton]:
     """The automata of the items' windows, block by block."""
-    found = item_windows(items, n)
+    found = written(item_windows(items, n), "leak-windows")
     blocks = -(-found.count() // block_windows)
     for k in range(blocks):
         part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k)
@@ -74,6 +74,7 @@ def automata(items: DataFrame, n: int = WORDS, block_windows: int = BLOCK_WINDOW
         if len(automaton):
             automaton.make_automaton()
             yield automaton
+    discard(items.sparkSession, found)
 
 
 def hits(automaton: ahocorasick.Automaton, text: bytes) -> tuple[int, np.ndarray, set[str]]:
@@ -114,27 +115,45 @@ def find(documents: DataFrame, items: DataFrame, *, n: int = WORDS, block_window
     spark = documents.sparkSession
     added = [prefix + x for x in ("n_words", "hit_words", "item_ids", "hit_spans")]
     kept = documents.drop(*added)
-    names = kept.columns
-    shared = [spark.sparkContext.broadcast(a) for a in automata(items, n, block_windows)]
     kinds = ("long", "array<int>", "array<string>", "array<struct<start: int, end: int>>")
-    schema = extended(kept.schema, ", ".join(f"{name} {kind}" for name, kind in zip(added, kinds)))
+    schema = extended(kept.schema, ", ".join(f"`{name}` {kind}" for name, kind in zip(added, kinds)))
+    rest = automata(items, n, block_windows)
+    automaton, done, before = next(rest, None), kept, None
+    while True:
+        shared = spark.sparkContext.broadcast(automaton)
+        done = done.mapInArrow(_scan(shared, kept.columns, added), schema)
+        automaton = next(rest, None)
+        if automaton is None:
+            return done
+        # one pass of several: its automaton goes before the next is sent
+        done = written(done, "leak-pass")
+        shared.unpersist()
+        if before is not None:
+            discard(spark, before)
+        before = done
+
+
+def _scan(shared, names: list[str], added: list[str]):
+    """Batches with what the automaton finds, added to what an earlier pass found."""
 
     def scan(batches):
         for batch in batches:
-            rows = []
-            for text in batch.column(names.index("text")).cast(pa.binary()):
+            rows, text_at = [], names.index("text")
+            earlier = [batch.column(len(names) + k).to_pylist() for k in (1, 2)] if batch.num_columns > len(names) else None
+            for i, text in enumerate(batch.column(text_at).cast(pa.binary())):
                 text = text.as_py() or b""
-                if not shared:
+                if shared.value is None:
                     rows.append((len(normalised(text)[0]), [], [], []))
                     continue
-                found = [hits(a.value, text) for a in shared]
-                words = reduce(np.union1d, [w for _, w, _ in found])
-                rows.append((found[0][0], words.tolist(), sorted(set().union(*(i for _, _, i in found))), character_spans(text, words)))
+                n_words, words, items = hits(shared.value, text)
+                if earlier is not None:
+                    words, items = np.union1d(words, np.array(earlier[0][i], np.int64)), items.union(earlier[1][i])
+                rows.append((n_words, words.tolist(), sorted(items), character_spans(text, words)))
             columns = list(zip(*rows)) or [[]] * 4
             kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), _SPANS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, k) for c, k in zip(columns, kinds))], [*names, *added])
 
-    return kept.mapInArrow(scan, schema)
+    return scan
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
