@@ -12,8 +12,9 @@ backslash and a letter; no other backslash occurs, so unescaping is exact. The l
 is a list of spans, in code points of the formatted text, one for each turn of a role
 that is learned; marks and separators are outside.
 
-Turns of equal number are ordered by role, then text; a null turn comes first. Null text
-and null role are empty. A conversation is one row, so its text must fit a row.
+Turns of equal number are ordered by role, then text, as they were before escaping; a null turn comes
+first, and rows that repeat a turn stay. Null text and null role are empty. A conversation is one
+row, so its text must fit a row; the cost grows with its length, not with the square of its turns.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ OPEN, NAMED, CLOSE, NEXT = "### ", ": ", "</turn>\n", "<next/>"
 ESCAPES = (("\\", "\\b"), (OPEN, "\\h"), ("</turn>", "\\e"), (NEXT, "\\n"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 LEARNED = "assistant"
+#: Pieces of text whose spans are told at once.
+BLOCK = 512
 
 
 def escape(text: Column, escapes=ESCAPES) -> Column:
@@ -46,17 +49,19 @@ def _concat(parts: Column) -> Column:
 
 def format_conversations(turns: DataFrame, *, learned: str = LEARNED) -> DataFrame:
     """conv_id, formatted, loss_spans (array of struct start, end) of each conversation."""
-    turn = F.struct("turn", escape(F.col("role"), ROLE_ESCAPES).alias("role"), escape(F.col("text")).alias("text"))
+    turn = F.struct("turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
     collected = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # a run goes from a turn whose role isn't that of the turn before to the next such turn
+    n = F.size("turns")
+    opens = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
+    starts = collected.withColumn("opens", opens)
 
-    def merge(runs: Column, x: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        joined = F.struct(x["role"].alias("role"), F.concat(last["texts"], F.array(x["text"])).alias("texts"))
-        alone = F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts"))
-        same = F.coalesce(last["role"] == x["role"], F.lit(False))
-        return F.when(same, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(joined))).otherwise(F.concat(runs, F.array(alone)))
+    def run(i: Column, k: Column) -> Column:
+        end = F.when(k + 1 < F.size("opens"), F.get("opens", k + 1)).otherwise(n + 1)
+        role = escape(F.element_at("turns", i)["role"], ROLE_ESCAPES)
+        return F.struct(role.alias("role"), F.transform(F.slice("turns", i, end - i), lambda t: escape(t["text"])).alias("texts"))
 
-    runs = collected.withColumn("runs", F.aggregate("turns", F.expr("CAST(array() AS array<struct<role: string, texts: array<string>>>)"), merge))
+    runs = starts.select("conv_id", F.transform("opens", run).alias("runs"))
 
     def piece(text: Column, loss: Column) -> Column:
         return F.struct(text.alias("text"), loss.alias("loss"))
@@ -75,7 +80,14 @@ def format_conversations(turns: DataFrame, *, learned: str = LEARNED) -> DataFra
         return F.struct(end.alias("at"), F.when(x["loss"], with_it).otherwise(acc["spans"]).alias("spans"))
 
     start = F.expr("named_struct('at', 0, 'spans', CAST(array() AS array<struct<start: int, end: int>>))")
-    spans = F.aggregate("pieces", start, span, lambda acc: acc["spans"])
+    # an array that grows is copied at each step, so it grows to BLOCK pieces only, then block by block
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice("pieces", b * BLOCK + 1, F.lit(BLOCK)), start, span))
+    laid = laid.withColumn("blocks", blocks)
+    at = F.aggregate(
+        "blocks", F.expr("named_struct('at', 0, 'starts', CAST(array() AS array<int>))"),
+        lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"],
+    )
+    spans = F.flatten(F.zip_with("blocks", at, lambda x, s: F.transform(x["spans"], lambda y: F.struct((y["start"] + s).alias("start"), (y["end"] + s).alias("end")))))
     return laid.select("conv_id", _concat(F.transform("pieces", lambda x: x["text"])).alias("formatted"), spans.alias("loss_spans"))
 
 
