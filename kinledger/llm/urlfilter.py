@@ -11,7 +11,8 @@ table of redirects, if given. A relative address is resolved against its page's
 node is the url without its fragment, with scheme and host in lower case.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule, are nobody's alias
-and are allowed. Rows that repeat a page are judged alike.
+and are allowed. Rows that repeat a page are judged alike; very long pages are searched whole, for all
+their links. Other columns of ``pages`` are left out.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def resolved(url: Column, to: Column) -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(a, b): the nodes of pages and of what they name as canonical or refresh to."""
-    named = F.explode(F.array(F.regexp_extract("html", _LINK, 1), F.regexp_extract("html", _REFRESH, 1)))
+    named = F.explode(F.concat(F.regexp_extract_all("html", F.lit(_LINK), 1), F.regexp_extract_all("html", F.lit(_REFRESH), 1)))
     found = pages.where("url is not null and html is not null").select("url", named.alias("to")).where("`to` <> ''")
     to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
     return found.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), to)).alias("b"))
