@@ -10,7 +10,9 @@ What is marked as chrome inside the run (menus, asides, forms, adverts, comments
 
 Text keeps page order: character references decoded, white space inside a block turned into
 one space and trimmed, blocks joined by one space. Null and empty pages give the empty text,
-as do pages without a word outside chrome.
+as do pages without a word outside chrome. Very long pages are read whole, in time that grows with their
+length however their tags nest. Rows that repeat a page have the same text; a null page_id or url stays
+null, and other columns are left out.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +30,8 @@ from pyspark.sql import DataFrame
 from .common import table
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|noscript|iframe|textarea|title|svg|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*>?|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|noscript|iframe|textarea|title|svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?/][^<>]*>?|<[a-zA-Z][^<>]*>?|[^<]+|<",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -81,15 +84,17 @@ def tokens(page: str) -> tuple[list[tuple[str, int, str, bool]], list[tuple[str,
     out: list[tuple[str, int, str, bool]] = []
     homes: list[tuple[str, int, int]] = []
     open_: list[tuple[str, bool, str | None, int, bool]] = []  # name, chrome, home, place, chrome with the homes below
+    at: dict[str, list[int]] = defaultdict(list)  # where each name stands in open_; "" homes, "#" what isn't inline
     fresh = True
 
     def shut(i: int) -> None:
-        for _, chrome, home, place, _ in reversed(open_[i:]):
+        while len(open_) > i:
+            name, chrome, home, place, _ = open_.pop()
+            for key in (name, *[""] * bool(home), *["#"] * (name not in _INLINE)):
+                at[key].pop()
             if home and not chrome:
                 homes.append((home, place, len(out)))
-        del open_[i:]
 
-    links = 0
     for m in _TOKEN.finditer(page):
         name = m["name"]
         if name is None:
@@ -100,36 +105,27 @@ def tokens(page: str) -> tuple[list[tuple[str, int, str, bool]], list[tuple[str,
             text = _html.unescape(text)
             n = len(text.split())
             if n or not fresh:
-                out.append(("chrome" if open_ and open_[-1][1] else "link" if links else "word", n, text, fresh))
+                out.append(("chrome" if open_ and open_[-1][1] else "link" if at["a"] else "word", n, text, fresh))
                 fresh = False
             continue
         name = name.lower()
         fresh |= name not in _INLINE
         out.append((name, 0, "", False))
         if m["close"]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    links -= sum(x[0] == "a" for x in open_[i:])
-                    shut(i)
-                    break
-                if open_[i][2] and name not in _HOMES and name not in ("body", "html"):
-                    break  # a stray end tag doesn't close an article
+            # a stray end tag doesn't close an article
+            if at[name] and (name in _HOMES or name in ("body", "html") or not at[""] or at[name][-1] >= at[""][-1]):
+                shut(at[name][-1])
             continue
-        if name in _ENDS_P and open_:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == "p":
-                    links -= sum(x[0] == "a" for x in open_[i:])
-                    shut(i)
-                    break
-                if open_[i][0] not in _INLINE:
-                    break
+        if name in _ENDS_P and at["p"] and at["p"][-1] == at["#"][-1]:
+            shut(at["p"][-1])
         if name in _VOID or m["attributes"].endswith("/"):
             continue
         chrome, named, header, home = _marks(name, m["attributes"])
         above = open_[-1] if open_ else ("", False, None, 0, False)
-        in_home = any(x[2] for x in open_)
-        links += name == "a"
         below = above[4] or chrome or bool(home) and named
+        for key in (name, *[""] * bool(home), *["#"] * (name not in _INLINE)):
+            at[key].append(len(open_))
+        in_home = len(at[""]) > bool(home)
         open_.append((name, below or named or above[1] and not home or header and not in_home, home, len(out), below))
     shut(0)
     return out, homes
@@ -152,12 +148,15 @@ _TEXT = ("word", "link", "chrome")
 
 def places(seen, homes) -> list[str]:
     """Where each token stands: in or out of the page's articles (its mains, if no article has words), "" if it has none."""
+    worded = [0, *accumulate(kind in ("word", "link") and n > 0 for kind, n, _, _ in seen)]
     for home in ("article", "main"):
-        mine = [(a, b) for h, a, b in homes if h == home and any(seen[i][0] in ("word", "link") and seen[i][1] for i in range(a, b))]
+        mine = sorted((a, b) for h, a, b in homes if h == home and worded[b] > worded[a])
         if mine:
-            where = ["out"] * len(seen)
-            for a, b in mine:
+            where, done = ["out"] * len(seen), 0
+            for a, b in mine:  # one inside another is marked once
+                a = max(a, done)
                 where[a:b] = ["in"] * (b - a)
+                done = max(done, b)
             return where
     return [""] * len(seen)
 

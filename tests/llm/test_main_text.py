@@ -30,3 +30,13 @@ def test_bounds_are_those_of_the_run(monkeypatch):
     at = [text for _, _, text, _ in extract.tokens(page)[0]].index("two")
     monkeypatch.setattr(extract, "best_run", lambda scores: (at, at + 1))
     assert extract.main_text(page) == "two"
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<b>", "<article>", "<b><p></p>", "</x><div>", "<article></div>", "<script ", "<script", "<!", "<a href='", '<a "', "<p><b>", "<main><i>", "</article><b>"])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    page = unit * (1_000_000 // len(unit)) + f"<p>{LONG}</p>"
+    began = time.time()
+    extract.main_text(page)
+    assert time.time() - began < 20
