@@ -16,7 +16,8 @@ agrees passes.
 Null payloads are empty, a null page_id is written as an empty one and read as null, and so
 is a null url. Of pages with equal payloads, that with the least page_id is the response
 and all others revisit it; rows that repeat this page are responses too. Without any
-page_id there is nothing to refer to, and all are responses.
+page_id there is nothing to refer to, and all are responses. A page without a page_id whose payload has a
+response revisits it. Very long payloads are one record like others; other columns are left out.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ _ID = "urn:kinledger:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Headers that end later than this aren't looked for; lengths have at most 18 digits, so they fit a long.
+HEAD_BYTES = 1 << 16
+_NUMBER = re.compile(r"[0-9]{1,18}")
 _HTTP = re.compile(rb"HTTP/[^\r\n]*\r\n(?:[^\r\n]+\r\n)*\r\n")
 
 
@@ -125,7 +129,7 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
     """The record at ``at``, checked, and where it ends."""
     if not _VERSION.match(data, at):
         raise Damage("no version line")
-    head_end = data.find(b"\r\n\r\n", at)
+    head_end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
     if head_end < 0:
         raise Damage("no end of headers")
     fields = {}
@@ -134,7 +138,7 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
         if not colon or not name.strip():
             raise Damage("bad header")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+    if not _NUMBER.fullmatch(fields.get("content-length", "")) or "warc-type" not in fields:
         raise Damage("no length or type")
     start = head_end + 4
     end = start + int(fields["content-length"])
@@ -143,7 +147,7 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
     payload, size = data[start:end], end - start
     if "application/http" in fields.get("content-type", "") and (http := _HTTP.match(payload)):
         payload = payload[http.end() :]
-        told = re.search(rb"(?im)^content-length:\s*(\d+)", http[0])
+        told = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r$", http[0])
         size = int(told[1]) if told and fields["warc-type"] == "revisit" else len(payload)
     digest = fields.get("warc-payload-digest", "")
     told = digest.startswith("sha1:") and fields["warc-type"] != "revisit"
@@ -183,6 +187,15 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     records were kept is a gap besides.
     """
     view, at, gap, reason = memoryview(data), 0, None, ""
+    known: dict[bytes, int] = {}
+
+    def mark(what: bytes, after: int) -> int:
+        """Where ``what`` stands next; a place found once is remembered until it is passed."""
+        if known.get(what, -1) < after:
+            found = data.find(what, after)
+            known[what] = len(data) if found < 0 else found
+        return known[what]
+
     while at < len(data):
         found, wrong, end, plain = [], None, at, at + 1
         if data[at : at + 2] == b"\x1f\x8b":
@@ -203,8 +216,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
             except Damage as e:
                 wrong, kept = str(e), False
         if wrong:
-            marks = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", plain)) if x >= 0]
-            after = min(marks, default=len(data))
+            after = min(mark(b"\x1f\x8b\x08", at + 1), mark(b"WARC/1.", plain))
             if kept:
                 if gap is not None:
                     yield gap, at, None, reason
@@ -290,7 +302,7 @@ named AS (
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(i // 4 AS INTEGER) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest
   FROM page),
 least AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM named)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM least
 """

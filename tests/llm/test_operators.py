@@ -172,6 +172,33 @@ def test_chat_round_trip(spark):
         assert r.formatted.count("</turn>\n") == runs
 
 
+def test_equal_turns_go_by_what_they_say(spark):
+    rows = [(1, 0, "b", "### x"), (1, 0, "b", "$ y"), (1, 0, "a:", "z"), (1, 0, "a", "\\\\"), (1, 0, "a", "</turn>"), (1, 0, "a", "</turn>")] + [(2, i, "user" if i % 700 else "assistant", f"t{i}") for i in range(3000)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in made.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert [tuple(t) for t in got[1].turns] == sorted((r[2], r[3]) for r in rows[:6])
+    assert [t.text for t in got[2].turns] == [f"t{i}" for i in range(3000)] and got[2].loss == "".join(f"t{i}" for i in range(0, 3000, 700))
+
+
+def test_automata_one_after_another(spark):
+    from kinledger.llm import decontaminate
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choice(words[:6]) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(200) if i % 7 else None) for i in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, text(rng.randint(3, 14))) for i in range(30)], "item_id long, text string")
+    one, many = ({r.doc_id: r for r in decontaminate.find(docs, items, n=5, block_windows=k).collect()} for k in (10**6, 17))
+    assert one == many and any(r.hit_words for r in one.values())
+
+
+def test_all_links_of_a_page_count(spark):
+    link = '<link rel=canonical href="{}">'
+    rows = [(1, "http://a.org/1", link.format("http://x.org/") + "<p>" + link.format("http://q.net/es/2")), (2, "http://x.org/", "")]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block"}
+
+
 def test_block_reaches_aliases_and_allow_comes_first(spark):
     link = '<head><link href="{}" rel=canonical></head>'
     rows = [

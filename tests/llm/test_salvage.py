@@ -51,3 +51,23 @@ def test_unchecked_bytes_need_a_digest():
     bad = bytearray(bare)
     bad[-8] ^= 1
     assert _ids(bare)[0] == [0] and _ids(bytes(bad)) == ([], [(0, len(bad), _ids(bytes(bad))[1][0][2])])
+
+
+def test_bad_numbers_are_damage():
+    one = _records(3)
+    for bad in ("\u00b2".encode(), b"9" * 5000, b"-1", b"", b"1 2"):
+        wrong = b"".join([one[1].split(b"\r\nContent-Length: ")[0], b"\r\nContent-Length: ", bad, b"\r\n\r\n", one[1].split(b"\r\n\r\n", 1)[1]])
+        found = list(warc.salvage(one[0] + wrong + one[2]))
+        assert [r["fields"]["warc-record-id"][-2:-1] for _, _, r, _ in found if r] == ["0", "2"]
+        assert all(r["payload_bytes"] < 2**63 for _, _, r, _ in found if r)
+    http = _records(1)[0].replace(b"Content-Type: text/html; charset=utf-8\r\nContent-Length: ", b"Content-Type: text/html; charset=utf-8\r\nContent-Length: 99999999999999999999")
+    assert all(r is None or r["payload_bytes"] < 2**63 for _, _, r, _ in warc.salvage(http))
+
+
+def test_many_false_marks_take_linear_time():
+    import time
+
+    tail = b"x" * 2_000_000 + gzip.compress(_records(1)[0])
+    for false in (b"\x1f\x8b\x08zz" * 4000, b"WARC/1.1\r\na: b\r\n" * 4000, b"\x1f\x8b\x08WARC/1.1\r\n" * 4000):
+        began = time.time()
+        assert _ids(false + tail)[0] == [0] and time.time() - began < 10
