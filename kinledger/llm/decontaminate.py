@@ -126,7 +126,7 @@ def find(documents: DataFrame, items: DataFrame, *, n: int = WORDS, block_window
         if automaton is None:
             return done
         # one pass of several: its automaton goes before the next is sent
-        done = written(done, "leak-pass")
+        done = written(done, "leak-pass", outlives=True)
         shared.unpersist()
         if before is not None:
             discard(spark, before)

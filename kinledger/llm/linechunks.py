@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .bytetext import NOT_SPACE, blocks, lines, mix, packed, span_hashes, unpacked
-from .common import discard, extended, table, written
+from .common import extended, scratch, table, written
 
 #: One in this many lines ends a chunk: so many lines a chunk has on average.
 SPREAD = 3
@@ -159,9 +159,9 @@ def _covered(repeats: DataFrame) -> DataFrame:
     return listed.mapInArrow(chosen, repeats.select(*names).schema)
 
 
-def _wanted(documents: DataFrame, spread: int, chunk_words: int, least_words: int) -> tuple[DataFrame, list[DataFrame]]:
+def _wanted(documents: DataFrame, spread: int, chunk_words: int, least_words: int) -> DataFrame:
     """w_doc_id, w_key and pieces (structs start, stop, hash, is_first) of the documents that hold a repeated piece
-    to remove or the first occurrence of one; and the tables that were written on the way."""
+    to remove or the first occurrence of one."""
     cut = written(chunks(documents, spread=spread, chunk_words=chunk_words, least_words=least_words), "chunks")
     place = F.struct("doc_id", "key", "low", "high", "start", "stop")
     ends = cut.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
@@ -174,7 +174,7 @@ def _wanted(documents: DataFrame, spread: int, chunk_words: int, least_words: in
     both = repeats.withColumn("is_first", F.lit(False)).unionByName(firsts.withColumn("is_first", F.lit(True)))
     # pieces of a document are three times its lines at most
     listed = both.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("key").alias("w_key")).agg(F.sort_array(F.collect_set(F.struct("start", "stop", "hash", "is_first"))).alias("pieces"))
-    return listed, [cut, ends, repeats]
+    return listed
 
 
 def _bytes_of(met: DataFrame) -> DataFrame:
@@ -225,29 +225,29 @@ def dedup_lines(documents: DataFrame, *, spread: int = SPREAD, chunk_words: int
     kept = documents.drop(*added)
     names = [f"__{c}" for c in kept.columns]  # apart from the names used on the way
     text = names[kept.columns.index("text")]
-    wanted, scratch = _wanted(documents, spread, chunk_words, least_words)
-    named = kept.select(*(F.col(c).alias(n) for c, n in zip(kept.columns, names))).withColumn("text", F.col(text)).drop(text)
-    named = _key(named)
-    order = named.columns
-
-    def pack(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([packed(c) if name == "text" else c for name, c in zip(order, batch.columns)], order)
-
-    frames = named.mapInArrow(pack, StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in named.schema]))
-    doc = names[kept.columns.index("doc_id")]
-    met = frames.join(wanted, frames[doc].eqNullSafe(F.col("w_doc_id")) & (F.col("key") == F.col("w_key")), "left").drop("w_doc_id", "w_key")
-    met = written(met.withColumnRenamed("pieces", "__of_pieces").withColumnRenamed("key", "__of_key"), "chunk-texts")
-    bytes_of = _bytes_of(met.select(F.col(doc).alias("__doc"), F.col("__of_key").alias("__key"), F.col("__of_pieces").alias("__pieces"), "text"))
-    bytes_of = written(bytes_of, "chunk-bytes")
-    # written too: a passage that very many documents hold is one key, which only plain exchanges let Spark split
-    first = written(bytes_of.where("is_first").select("hash", F.col("bytes").alias("first_bytes")).dropDuplicates(["hash"]), "chunk-first-bytes")
-    unequal = bytes_of.where("not is_first").join(first, "hash").where("bytes <> first_bytes")
-    # equal hashes of unequal bytes: as good as none, so this join moves no texts
-    unequal = written(unequal.groupBy(F.col("doc").alias("u_doc"), F.col("key").alias("u_key")).agg(F.collect_set("start").alias("__unequal")), "chunk-unequal")
+    with scratch(spark):
+        wanted = _wanted(documents, spread, chunk_words, least_words)
+        named = kept.select(*(F.col(c).alias(n) for c, n in zip(kept.columns, names))).withColumn("text", F.col(text)).drop(text)
+        named = _key(named)
+        order = named.columns
+
+        def pack(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([packed(c) if name == "text" else c for name, c in zip(order, batch.columns)], order)
+
+        frames = named.mapInArrow(pack, StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in named.schema]))
+        doc = names[kept.columns.index("doc_id")]
+        met = frames.join(wanted, frames[doc].eqNullSafe(F.col("w_doc_id")) & (F.col("key") == F.col("w_key")), "left").drop("w_doc_id", "w_key")
+        met = written(met.withColumnRenamed("pieces", "__of_pieces").withColumnRenamed("key", "__of_key"), "chunk-texts", outlives=True)
+        bytes_of = _bytes_of(met.select(F.col(doc).alias("__doc"), F.col("__of_key").alias("__key"), F.col("__of_pieces").alias("__pieces"), "text"))
+        bytes_of = written(bytes_of, "chunk-bytes")
+        # written too: a passage that very many documents hold is one key, which only plain exchanges let Spark split
+        first = written(bytes_of.where("is_first").select("hash", F.col("bytes").alias("first_bytes")).dropDuplicates(["hash"]), "chunk-first-bytes")
+        unequal = bytes_of.where("not is_first").join(first, "hash").where("bytes <> first_bytes")
+        # equal hashes of unequal bytes: as good as none, so this join moves no texts
+        unequal = written(unequal.groupBy(F.col("doc").alias("u_doc"), F.col("key").alias("u_key")).agg(F.collect_set("start").alias("__unequal")), "chunk-unequal", outlives=True)
     ready = met.join(unequal, met[doc].eqNullSafe(F.col("u_doc")) & (F.col("__of_key") == F.col("u_key")), "left")
     ready = ready.select(*(F.col("text") if n == text else F.col(n) for n in names), "__of_pieces", "__unequal")
-    discard(spark, *scratch, bytes_of, first)
     place, result = kept.columns.index("text"), [*kept.columns, *added]
 
     def removed(batches):

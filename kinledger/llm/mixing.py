@@ -27,7 +27,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import scratch, table, written
 
 WEIGHTS = (5, 2, 1)
 #: Of all words, and of a source's words at most.
@@ -106,26 +106,26 @@ def mix(documents: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, most: fl
     lies and isn't shuffled.
     """
     spark = documents.sparkSession
-    sized = written(documents.select("source", n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("__u")), "mix-sizes")
-    by = written(targets(sized, weights=weights, total=total, most=most), "mix-targets")
-    bins = max(LEAST_BINS, math.isqrt(by.agg(F.max("docs")).first()[0] or 0))
-    plan = written(plans(sized, by), "mix-plans")
-    ranked = _ranked(sized, plan, bins).where("__rank is not null")
-
-    words = ranked.groupBy("__source", "__bin").agg(F.sum("size").alias("words"), F.min("__left").alias("left"))
-    words = words.withColumn("upto", F.sum("words").over(Window.partitionBy("__source").orderBy("__bin"))).withColumn("before", F.col("upto") - F.col("words"))
-    # the first bin at whose end the words exceed what is left
-    edges = words.where(F.col("upto") > F.col("left")).groupBy(F.col("__source").alias("__of")).agg(F.min("__bin").alias("__edge"), F.min_by("before", "__bin").alias("before"))
-    edges = written(edges, "mix-edges")
-    inside = ranked.join(edges, F.col("__source").eqNullSafe(F.col("__of"))).where(F.col("__bin") == F.col("__edge"))
-    ranks = inside.groupBy("__of", "__edge", "__rank").agg(F.sum("size").alias("block"), F.count("*").alias("n"), F.min("before").alias("before"), F.min("__left").alias("left"))
-    upto = F.col("before") + F.sum("block").over(Window.partitionBy("__of").orderBy("__rank"))
-    ranks = ranks.withColumn("upto", upto).where(F.col("upto") > F.col("left"))
-    # of the rank at which the words run out, as many rows as come nearest
-    fit = F.floor((F.col("left") - (F.col("upto") - F.col("block"))) / (F.col("block") / F.col("n")) + F.lit(0.5))
-    last = ranks.withColumn("fit", F.greatest(F.lit(0), F.least(fit, F.col("n"))).cast("long"))
-    ends = written(last.groupBy("__of", "__edge").agg(F.min("__rank").alias("__last"), F.min_by("fit", "__rank").alias("__fit"), F.min_by("n", "__rank").alias("__n")), "mix-ends")
-
+    with scratch(spark):
+        sized = written(documents.select("source", n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("__u")), "mix-sizes")
+        by = written(targets(sized, weights=weights, total=total, most=most), "mix-targets")
+        bins = max(LEAST_BINS, math.isqrt(by.agg(F.max("docs")).first()[0] or 0))
+        plan = written(plans(sized, by), "mix-plans", outlives=True)
+        ranked = _ranked(sized, plan, bins).where("__rank is not null")
+
+        words = ranked.groupBy("__source", "__bin").agg(F.sum("size").alias("words"), F.min("__left").alias("left"))
+        words = words.withColumn("upto", F.sum("words").over(Window.partitionBy("__source").orderBy("__bin"))).withColumn("before", F.col("upto") - F.col("words"))
+        # the first bin at whose end the words exceed what is left
+        edges = words.where(F.col("upto") > F.col("left")).groupBy(F.col("__source").alias("__of")).agg(F.min("__bin").alias("__edge"), F.min_by("before", "__bin").alias("before"))
+        edges = written(edges, "mix-edges")
+        inside = ranked.join(edges, F.col("__source").eqNullSafe(F.col("__of"))).where(F.col("__bin") == F.col("__edge"))
+        ranks = inside.groupBy("__of", "__edge", "__rank").agg(F.sum("size").alias("block"), F.count("*").alias("n"), F.min("before").alias("before"), F.min("__left").alias("left"))
+        upto = F.col("before") + F.sum("block").over(Window.partitionBy("__of").orderBy("__rank"))
+        ranks = ranks.withColumn("upto", upto).where(F.col("upto") > F.col("left"))
+        # of the rank at which the words run out, as many rows as come nearest
+        fit = F.floor((F.col("left") - (F.col("upto") - F.col("block"))) / (F.col("block") / F.col("n")) + F.lit(0.5))
+        last = ranks.withColumn("fit", F.greatest(F.lit(0), F.least(fit, F.col("n"))).cast("long"))
+        ends = written(last.groupBy("__of", "__edge").agg(F.min("__rank").alias("__last"), F.min_by("fit", "__rank").alias("__fit"), F.min_by("n", "__rank").alias("__n")), "mix-ends", outlives=True)
     carried = documents.drop("size", "source_size", "target", "copies", "taken")
     rows = _ranked(carried.select("*", n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("__u")), plan, bins)
     rows = rows.join(ends, F.col("__source").eqNullSafe(F.col("__of")), "left")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table, written
+from .common import discard, scratch_path, table, written
 
 #: Payloads of at least so many bytes are written once.
 LEAST_BYTES = 0
@@ -82,8 +82,8 @@ def write_warc(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES, r
     known = known.withColumn("digest", base32_sha1(F.col("payload")))
     often = known.where(F.length("payload") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
     # written first: if it is small, payloads needn't be shuffled to meet it
-    often = written(often.where("n > 1 and first_id is not null").drop("n"), "warc-digests")
-    known = known.join(often, "digest", "left")
+    digests = written(often.where("n > 1 and first_id is not null").drop("n"), "warc-digests")
+    known = known.join(digests, "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to")
 
     def pack(batches):
@@ -99,6 +99,7 @@ def write_warc(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES, r
     # the cast keeps bytes as they are, and the separator is their Latin-1 reading
     sink = packed.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1")
     sink.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records_per_file).text(path)
+    discard(pages.sparkSession, digests)
 
 
 class Damage(Exception):
