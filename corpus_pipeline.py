@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinledger.llm.common import discard, table, written
+from kinledger.llm.common import discard, scratch, table, written
 from kinledger.llm.decontaminate import stage_decontaminate
 from kinledger.llm.linechunks import stage_line_chunks
 from kinledger.llm.minhash import stage_near_duplicates
@@ -32,7 +32,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``: the last one's rows, doc_id with the words the mix takes."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", outlives=True)
         if before is not None:
             discard(spark, before)
         before = docs
