@@ -30,7 +30,7 @@ BITS = 16
 #: Most labelled rows that a fit reads, those whose doc_id hashes lowest; a documented bound.
 TRAIN_ROWS = 4000
 #: Most distinct n-grams that a fit reads of one text.
-TRAIN_BUCKETS = 8192
+TRAIN_BUCKETS = 4096
 #: Kept if the calibrated probability of quality 1 is at least this.
 THRESHOLD = 0.5
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20

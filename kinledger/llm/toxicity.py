@@ -39,11 +39,11 @@ DIMENSIONS = 8
 TRAIN_ROWS = 4000
 THRESHOLD = 0.3
 #: Most distinct n-grams that a fit reads of one text.
-TRAIN_BUCKETS = 8192
+TRAIN_BUCKETS = 4096
+#: A bucket and its count travel as one number of 32 bits; a text's greater counts are told as this.
+MOST_COUNTED = (1 << 32 - BITS) - 1
 #: An n-gram of fewer sampled texts than this has no weight: one text alone tells nothing of others.
-LEAST_TEXTS = 2
-#: How much an embedding shrinks at each step, times the rate: rare n-grams stay small unless they help.
-DECAY = 0.02
+LEAST_TEXTS = 3
 #: Texts of a mini-batch.
 BATCH = 256
 
@@ -100,19 +100,23 @@ class ToxicityModel:
 
 
 def bags(column: pa.Array, most: int = TRAIN_BUCKETS) -> pa.Array:
-    """The n-gram counts of each text, as a list of at most ``most`` structs (bucket, n)."""
-    sizes, buckets, counts = [], [], []
+    """The n-gram counts of each text, as a list of at most ``most`` numbers: the bucket in the low BITS, the count above."""
+    sizes, found_in = [], []
     for _, data, offsets in blocks(column):
         found = [(np.searchsorted(at, np.flatnonzero(ok), "right") - 1, bucket[ok]) for bucket, ok, at in ngrams(data, offsets)]
         rows, values, n = counted(*(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found))) if found else (np.zeros(0, np.int64),) * 3
         at = fewest(rows, values, most)
         rows, values, n = rows[at], values[at], n[at]
         sizes.append(np.bincount(rows, minlength=len(offsets) - 1))
-        buckets.append(values)
-        counts.append(n)
-    sizes, buckets, counts = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int32) for x in (sizes, buckets, counts))
-    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(buckets), pa.array(counts)], ["bucket", "n"]))
+        found_in.append((values | np.minimum(n, MOST_COUNTED) << BITS).astype(np.uint32).view(np.int32))
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found_in, np.zeros(0, np.int32)])))
+
+
+def unbagged(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of the numbers in a bag."""
+    flat = flat.view(np.uint32)
+    return (flat & np.uint32((1 << BITS) - 1)).view(np.int32), flat >> np.uint32(BITS)
 
 
 def train(sizes: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.ndarray, *, steps: int = 600, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
@@ -161,7 +165,6 @@ def train(sizes: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.
             v *= 0.999
             v += 0.001 * gradient**2
             value -= (pace * m / (np.sqrt(v) + 1e-5)).astype(value.dtype)
-        embeddings *= 1 - DECAY * rate * (1 - (step - 1) / steps)
     difference = classes[:, 1] - classes[:, 0]
     return ToxicityModel(np.where(common, embeddings @ difference, 0).astype(np.float32), float(bias[1] - bias[0]))
 
@@ -193,18 +196,18 @@ def fit(documents: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS, buck
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], bags(batch["text"], buckets)], ["doc_id", "toxic", "bag"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    found = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(bag, f"doc_id {kind}, toxic int, bag array<struct<bucket: int, n: int>>").toArrow()
+    found = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(bag, f"doc_id {kind}, toxic int, bag array<int>").toArrow()
     # the same order of texts at each run; the bags are copied once, as numbers
     order = pa.compute.sort_indices(found["doc_id"]).to_numpy()
     toxic = (found["toxic"].to_numpy()[order] > 0).astype(float)
-    bags_of = [chunk for chunk in found["bag"].chunks]
+    bags_of = found["bag"].chunks
     del found
-    lists = [b.flatten() for b in bags_of]
     sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(b.offsets.to_numpy()) for b in bags_of)])
+    flat = np.concatenate([np.zeros(0, np.int32), *(b.flatten().to_numpy() for b in bags_of)])
+    del bags_of
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    where = np.concatenate([np.zeros(0, np.int32), *(np.arange(ends[i], ends[i + 1], dtype=np.int32) for i in order)])
-    values, counts = (np.concatenate([np.zeros(0, np.int32), *(x.field(name).to_numpy() for x in lists)])[where] for name in ("bucket", "n"))
-    return train(sizes[order], values, counts, toxic)
+    flat = np.concatenate([np.zeros(0, np.int32), *(flat[ends[i] : ends[i + 1]] for i in order)])
+    return train(sizes[order], *unbagged(flat), toxic)
 
 
 def score(documents: DataFrame, model: ToxicityModel, *, column: str = "toxicity") -> DataFrame:

@@ -118,8 +118,7 @@ def test_toxicity_learns_and_reads_misspellings():
         texts.append(" ".join(words))
         labels.append(i % 4 == 0)
     bags = toxicity.bags(pa.array(texts))
-    flat = bags.flatten()
-    model = toxicity.train(np.diff(bags.offsets.to_numpy()), flat.field("bucket").to_numpy(), flat.field("n").to_numpy(), np.array(labels, float))
+    model = toxicity.train(np.diff(bags.offsets.to_numpy()), *toxicity.unbagged(bags.flatten().to_numpy()), np.array(labels, float))
     scores = model.scores(pa.array(texts))
     assert scores[np.array(labels)].min() > 0.3 > scores[~np.array(labels)].max()
     unseen = " ".join(plain[:27] + ["stuupid", "stupidd", "wretchhed"])
