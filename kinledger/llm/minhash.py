@@ -295,8 +295,13 @@ def _parted(large: DataFrame, told: DataFrame, search: Search) -> tuple[DataFram
     if_linked = F.col("part") & (F.col("words") <= F.col("most")) | (F.col("allows") >= F.col("least"))
     kept = alone.where(F.when(F.col("linked"), if_linked).otherwise(F.col("part") | (F.col("allows") >= F.col("least_of_all"))))
     kept = written(kept.select("bucket", "node", "root", "words", "allows", "part"), "near-kept")
-    part = kept.where("part").select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "words", "allows")))
-    pairs = kept.join(part, "bucket").where("root <> root_b and words_b <= allows and words <= allows_b and (words_b < words or words_b = words and node_b < node)")
+    # a pair that shares several buckets is made in the least; only what is in very many isn't asked
+    listed = kept.groupBy("node").agg(F.count("*").alias("n"), F.collect_set("bucket").alias("buckets"))
+    kept = kept.join(listed.select("node", F.when(F.col("n") <= 2 * BANDS, F.col("buckets")).alias("buckets")), "node")
+    kept = written(kept, "near-kept")
+    part = kept.where("part").select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "words", "allows", "buckets")))
+    once = F.coalesce(F.array_min(F.array_intersect("buckets", "buckets_b")) == F.col("bucket"), F.lit(True))
+    pairs = kept.join(part, "bucket").where("root <> root_b and words_b <= allows and words <= allows_b and (words_b < words or words_b = words and node_b < node)").where(once)
     return finer, crossed, pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
