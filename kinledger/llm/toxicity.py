@@ -42,8 +42,6 @@ THRESHOLD = 0.3
 TRAIN_BUCKETS = 4096
 #: A bucket and its count travel as one number of 32 bits; a text's greater counts are told as this.
 MOST_COUNTED = (1 << 32 - BITS) - 1
-#: An n-gram of fewer sampled texts than this has no weight: one text alone tells nothing of others.
-LEAST_TEXTS = 3
 #: Texts of a mini-batch.
 BATCH = 256
 
@@ -133,11 +131,10 @@ def train(sizes: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.
         return ToxicityModel(np.zeros(1 << BITS), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    common = np.bincount(buckets, minlength=1 << BITS) >= LEAST_TEXTS
+    seen = np.bincount(buckets, minlength=1 << BITS) > 0  # others keep no weight
     share = counts.astype(np.float32)
     for a, z in zip(ends[:-1], ends[1:]):
         share[a:z] /= max(share[a:z].sum(), 1)
-    share[~common[buckets]] = 0
     embeddings = rng.normal(0, 0.1, (1 << BITS, DIMENSIONS)).astype(np.float32)
     classes, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2)
     bias[1] = np.log(toxic.mean() / (1 - toxic.mean()))
@@ -166,7 +163,7 @@ def train(sizes: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.
             v += 0.001 * gradient**2
             value -= (pace * m / (np.sqrt(v) + 1e-5)).astype(value.dtype)
     difference = classes[:, 1] - classes[:, 0]
-    return ToxicityModel(np.where(common, embeddings @ difference, 0).astype(np.float32), float(bias[1] - bias[0]))
+    return ToxicityModel(np.where(seen, embeddings @ difference, 0).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def held_out(doc_id: Column) -> Column:
